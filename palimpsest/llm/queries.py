@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import fingerprints, packing
+from . import fingerprints, minhash, packing
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
 }
 SQL: dict[str, str] = {}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprints, minhash, packing
+from . import chat, fingerprints, langid, minhash, packing, pieces
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
+    "op7_language_id": langid.op7_language_id,
     "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_chat_formatting": chat.OP3_SQL}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, langid, minhash, neighbours, packing, pieces
+from . import chat, fingerprints, langid, lines, minhash, neighbours, packing, pieces
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op7_language_id": langid.op7_language_id,
+    "op8_line_dedup": lines.op8_line_dedup,
     "op9_embedding_near_dedup": neighbours.op9_embedding_near_dedup,
     "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, langid, lines, minhash, neighbours, packing, pieces, suffixes
+from . import chat, fingerprints, katz, langid, lines, minhash, neighbours, packing, pieces, suffixes
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_suffix_array_dedup": suffixes.op2_suffix_array_dedup,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op5_lm_scoring": katz.op5_lm_scoring,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
     "op7_language_id": langid.op7_language_id,
     "op8_line_dedup": lines.op8_line_dedup,

@@ -168,6 +168,26 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text", letters.alias("known")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def known_language(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns, whose text is not rejected; nothing moves."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                keep = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
+                if m.langs:
+                    keep &= predict_slice(part.column(part.schema.get_field_index("text")), m)[1] >= m.threshold
+                else:
+                    keep[:] = False
+                rest = part.select(part.schema.names[1:])
+                yield rest.filter(pa.array(keep))
+
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_known")
+    return docs.select(letters, *docs.columns).mapInArrow(run, docs.schema)
+
+
 def held_out(column: str, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text falls in the fold; a null id is in none."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -21,9 +21,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import documents, written
@@ -211,16 +212,17 @@ def _anchors(length: int, gram: int):
     return run
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """at and the compressed bytes of each row's text, for a shuffle."""
+def _packed(docs: DataFrame, *carry: str) -> DataFrame:
+    """at, the compressed bytes of each row's text (for a shuffle), and other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([press.compress(x.as_buffer() or b"") if x.is_valid else b"" for x in part.column(1)], pa.binary())], ["at", "packed"])
+                packed = pa.array([press.compress(x.as_buffer() or b"") if x.is_valid else b"" for x in part.column(1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), packed, *part.columns[2:]], ["at", "packed", *carry])
 
-    return docs.select("at", "text").mapInArrow(run, "at long, packed binary")
+    return docs.select("at", "text", *carry).mapInArrow(run, "at long, packed binary" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry))
 
 
 def _unpack(value: pa.BinaryScalar, tool: zstandard.ZstdDecompressor) -> bytes:
@@ -352,22 +354,24 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     return solved.union(counted).union(known)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large_group: int = LARGE_GROUP) -> DataFrame:
-    """doc_id, kept (the remaining bytes), n_bytes, n_removed and n_spans (maximal removed runs) of each document.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, large_group: int = LARGE_GROUP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kept (the remaining bytes), n_bytes, n_removed and n_spans (maximal removed runs) of each document, then
+    the columns to carry along.
 
     Texts are UTF-8 bytes; a null text is empty. Texts shorter than `length` lose nothing. A string that overlaps
     its own repetition counts, and repeated rows are documents of their own, so each is a repetition of the other. The
     kept bytes of a text may cut a character in two. An empty table gives an empty result; extra columns are ignored.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("at", F.xxhash64("doc_id", "text"))
+    carried = F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")]).alias("carried")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), carried).withColumn("at", F.xxhash64("doc_id", "text"))
     spans = repeated_intervals(rows.select("at", "text"), length, gram, large_group)
     spans = spans.groupBy("at").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    packed = _packed_with_id(rows)
+    packed = _packed(rows, "doc_id", "carried")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
         for batch in batches:
-            ids, kept, size, removed, runs, held = [], [], [], [], [], 0
+            at, ids, kept, size, removed, runs, held = 0, [], [], [], [], [], 0
             for doc, packed, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 text = _unpack(packed, tool)
                 gone, n_runs = 0, 0
@@ -386,24 +390,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, larg
                 runs.append(n_runs)
                 held += len(rest)
                 if held > 8 << 20:
-                    yield _out(ids, kept, size, removed, runs)
-                    ids, kept, size, removed, runs, held = [], [], [], [], [], 0
-            yield _out(ids, kept, size, removed, runs)
+                    yield _out(batch.slice(at), ids, kept, size, removed, runs)
+                    at, ids, kept, size, removed, runs, held = at + len(ids), [], [], [], [], [], 0
+            yield _out(batch.slice(at), ids, kept, size, removed, runs)
 
-    def _out(ids, kept, size, removed, runs) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+    def _out(batch, ids, kept, size, removed, runs) -> pa.RecordBatch:
+        carried = batch.column(3).slice(0, len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), carried], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "carried"])
 
-    return packed.join(spans, "at", "left").select("doc_id", "packed", "spans").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    schema = f"doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, carried {rows.schema['carried'].dataType.simpleString()}"
+    out = packed.join(spans, "at", "left").select("doc_id", "packed", "spans", "carried").mapInArrow(run, schema)
+    return out.select("doc_id", "kept", "n_bytes", "n_removed", "n_spans", *[F.col("carried")[c].alias(c) for c in carry])
 
 
-def _packed_with_id(rows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([press.compress(x.as_buffer() or b"") for x in part.column(2)], pa.binary())], ["doc_id", "at", "packed"])
+def valid_text(column: str) -> Column:
+    """The bytes of a column as text, without the parts of characters that were cut in two."""
+
+    @F.pandas_udf("string")
+    def text(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda x: bytes(x).decode(errors="ignore"), na_action="ignore")
 
-    return rows.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, packed binary")
+    return text(F.col(column))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,17 +143,19 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs across groups that can reach the threshold: two sets at it share one of their rarest shingles, those
-    up to place n - ceil(n * percent / 100) + 1 in one order of all shingles by rarity."""
+    """All pairs across groups that can reach the threshold. In one order of all shingles by rarity, two sets at the
+    threshold share one of their first n - ceil(n * percent / 100) + 1; and where they share those at places i and j,
+    the rarer ones before leave room for at most 1 + min(n - i, m - j) common ones, which must be enough."""
     items = sets.join(members.select("class", "group").distinct(), "class").select("class", "group", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
     spread = items.groupBy("h").agg(F.count("*").alias("spread"))
     place = F.row_number().over(Window.partitionBy("class").orderBy("spread", "h"))
-    prefix = items.join(spread, "h").withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("spread") > 1)).select("class", "group", "n", "h")
+    prefix = items.join(spread, "h").withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("spread") > 1)).select("class", "group", "n", "h", "place")
     mixed = prefix.groupBy("h").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("h")
-    prefix = prefix.join(mixed, "h")
-    other = prefix.toDF("h", "class2", "group2", "n2")
-    near = (F.col("class") < F.col("class2")) & (F.col("group") != F.col("group2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-    return prefix.join(other, "h").where(near).select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct()
+    prefix = prefix.join(mixed, "h").select("class", "group", "n", "h", "place")
+    other = prefix.toDF("class2", "group2", "n2", "h", "place2")
+    room = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    near = (F.col("class") < F.col("class2")) & (F.col("group") != F.col("group2")) & ((100 + percent) * room >= percent * (F.col("n") + F.col("n2")))
+    return prefix.join(other.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & near).select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -168,8 +170,12 @@ def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, percent: int = PE
     filled = base.where("n_shingles > 0")
     reps = filled.groupBy("class").agg(F.min("doc_id").alias("rep"))
     keyed = filled.select("class", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("class").alias("lead"), F.max("class").alias("top")).where("lead < top").select("key", "lead")
-    members = written(keyed.join(shared, "key").select("key", "lead", "class").distinct(), "buckets")
+    shared = keyed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("top"), F.count("*").alias("met")).where("low < top").select("key", "met")
+    found = written(keyed.join(shared, "key").select("key", "met", "class").distinct(), "buckets")
+    # the leader is the member that meets most others in all its buckets: in a group of edited copies, the least edited
+    central = found.groupBy("class").agg(F.sum("met").alias("meets"))
+    leads = found.join(central, "class").groupBy("key").agg(F.max(F.struct("meets", "class"))["class"].alias("lead"))
+    members = written(found.join(leads, "key").select("key", "lead", "class"), "buckets")
     first = written(members.where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
     wanted = reps.join(members.select("class").distinct(), "class").select(F.col("rep").alias("doc_id"))
     sets = written(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), width), "sets")

@@ -68,7 +68,7 @@ def _batch(e: np.ndarray, row: np.ndarray, rows: int, size: int) -> np.ndarray:
                 perm = perm[live] if perm is not None else None
             if not len(e):
                 break
-        x = mix(e + _U(level) * _U(0x9E3779B97F4A7C15))
+        x = mix(e + _U(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         k = level + (((x >> _U(32)) * _U(size - level)) >> _U(32)).astype(np.int64)
         # Fisher-Yates: only what later visits can still reach is kept
         if level == 0:

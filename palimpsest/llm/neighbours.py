@@ -6,7 +6,8 @@ direction it exceeds a threshold with; these are found by list decoding (two hal
 not by trying all filters. Vectors that share a filter are compared in double precision.
 
 The number of filters grows in proportion to the table, so that a filter holds a few unrelated vectors at any size;
-the threshold follows from the wanted number of filters that a pair at the similarity limit shares. Filters that many
+the threshold follows from the wanted number of filters that a pair at the similarity limit shares. Several codes,
+each with a rotation of its own, share that number, so that no direction of space is left without filters. Filters that many
 vectors share are compared in pairs of blocks, each in its own task.
 """
 
@@ -24,9 +25,10 @@ from ._shared import written
 from .components import connected_components
 
 LIMIT = 0.9
-SHARED = 8.0  # filters that a pair at the limit shares on average
-PER_VECTOR = 16  # filters for each vector of the table
-BLOCKS = 4
+SHARED = 12.0  # filters that a pair at the limit shares on average
+CODES = 6  # independent codes that these come from: one code alone favours vectors of even blocks
+PER_VECTOR = 16  # filters of a code for each vector of the table
+BLOCKS = 2
 BLOCK_ROWS = 256
 
 
@@ -86,15 +88,19 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def filter_rows(vectors: DataFrame, code: ProductCode, dim: int) -> DataFrame:
-    """(id, filter) for all filters of each vector."""
+def filter_rows(vectors: DataFrame, codes: list[ProductCode], dim: int) -> DataFrame:
+    """(id, filter) for all filters of each vector, in all codes."""
+
+    def decode(unit: np.ndarray) -> list[np.ndarray]:
+        each = [c.decode(unit) for c in codes]
+        return [np.concatenate([found[i] * len(codes) + k for k, found in enumerate(each)]) for i in range(len(unit))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 x = _matrix(part.column(1), dim).astype(np.float64)
-                found = code.decode(x / np.linalg.norm(x, axis=1, keepdims=True))
+                found = decode(x / np.linalg.norm(x, axis=1, keepdims=True))
                 n = np.array([len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.concatenate(found).astype(np.int64))], ["id", "filter"])
 
@@ -144,8 +150,8 @@ def _compare(dim: int, limit: float):
 
 def similar_pairs(vectors: DataFrame, dim: int, rows: int, limit: float = LIMIT, shared: float = SHARED) -> DataFrame:
     """Distinct pairs (a < b) of ids of `vectors` (id, vector) that share a filter and have cosine >= limit."""
-    code = ProductCode(dim, rows, limit, shared)
-    hits = written(filter_rows(vectors, code, dim), "filters")
+    codes = [ProductCode(dim, rows, limit, shared / CODES, seed) for seed in range(CODES)]
+    hits = written(filter_rows(vectors, codes, dim), "filters")
     sizes = hits.groupBy("filter").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     placed = hits.join(sizes, "filter").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NAMES_SQL, SEARCH_STOP, approx_tokens, authority, coverage_status, episode_names, slug
-from ..operators import archive, budget, evidence, facts, ledger, search
+from ..functions.text import code_names, date_names
+from ..operators import archive, budget, evidence, facts, ledger, router, search
 from ..sources.episodes import CONV_SQL, EV_SQL, ORD_SQL, conversation_episodes, event_episodes, order_episodes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -548,3 +549,50 @@ def distinct_lines(spark, d):
     rows = conversation_episodes(spark, d).select("thread_id", "seq", F.posexplode(F.split("content", "\n", -1)).alias("i", "line"))
     first = rows.groupBy("thread_id", "line").agg(F.min(F.col("seq") * 100000 + F.col("i") + 1).alias("o"))
     return first.groupBy("thread_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", F.left("line", F.lit(16)).alias("l")))), lambda x: x["l"]), "|").alias("lines"), F.count("*").alias("n"))
+
+
+# ---- routes --------------------------------------------------------------------------------------------------
+
+QUESTION_SQL = """qu AS (SELECT thread_id AS question_id, thread_id, 'See #' || CAST(5 + thread_id % 7 AS VARCHAR) || '-' || CAST(6 + thread_id % 7 AS VARCHAR) || ' and issue #3: what of build-' || CAST(thread_id % 50 AS VARCHAR) || ' on ' || strftime(min(ts), '%Y-%m-%d') || '?' AS text FROM ev GROUP BY thread_id)"""
+
+
+def _questions(spark, d):
+    e = event_episodes(spark, d)
+    no = F.col("thread_id")
+    text = F.concat(F.lit("See #"), (5 + no % 7).cast("string"), F.lit("-"), (6 + no % 7).cast("string"), F.lit(" and issue #3: what of build-"), (no % 50).cast("string"), F.lit(" on "), F.date_format("t", "yyyy-MM-dd"), F.lit("?"))
+    return e.groupBy("thread_id").agg(F.min("ts").alias("t")).select(F.col("thread_id").alias("question_id"), "thread_id", text.alias("text"))
+
+
+@query(f"WITH {EV_SQL}, {QUESTION_SQL} SELECT question_id, thread_id, 5 + thread_id % 7 + i AS seq FROM qu, (VALUES (0), (1)) AS v(i)")
+def route_sequence(spark, d):
+    return router.sequence_references(_questions(spark, d))
+
+
+CASCADE_SQL = ENTRIES_SQL + f""", {QUESTION_SQL}, asked AS (SELECT DISTINCT question_id, thread_id, unnest(list_concat(regexp_extract_all(text, '([a-z]+-[0-9]+)', 1), regexp_extract_all(text, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1))) AS name FROM qu),
+cand AS (SELECT question_id, thread_id, 5 + thread_id % 7 + i AS seq, CAST(1 AS BIGINT) AS rank, 1 AS place FROM qu, (VALUES (0), (1)) AS v(i)
+  UNION ALL SELECT question_id, thread_id, seq, min(r), 3 FROM (SELECT a.question_id, a.thread_id, l.seq, row_number() OVER (PARTITION BY a.question_id, a.name ORDER BY l.seq DESC) AS r FROM asked a JOIN loss l ON l.thread_id = a.thread_id AND l.name = a.name) WHERE r <= 4 GROUP BY 1, 2, 3
+  UNION ALL SELECT question_id, thread_id, seq, min(r), 4 FROM (SELECT a.question_id, a.thread_id, n.seq, row_number() OVER (PARTITION BY a.question_id, a.name ORDER BY n.seq DESC) AS r FROM asked a JOIN nm n ON n.thread_id = a.thread_id AND n.name = a.name) WHERE r <= 2 GROUP BY 1, 2, 3),
+best AS (SELECT question_id, thread_id, seq, min(place * 1000 + rank) AS b FROM cand GROUP BY 1, 2, 3),
+pages AS (SELECT question_id, seq, b, row_number() OVER w AS page, CAST(sum({TOKENS}) OVER w AS BIGINT) AS used FROM best JOIN ev USING (thread_id, seq) WINDOW w AS (PARTITION BY question_id ORDER BY b, seq DESC ROWS UNBOUNDED PRECEDING))
+SELECT question_id, page, seq, CASE b // 1000 WHEN 1 THEN 'sequence' WHEN 3 THEN 'ledger' ELSE 'lexical' END AS route, used FROM pages WHERE page <= 6 AND used <= 90"""
+
+
+@query(CASCADE_SQL)
+def route_cascade(spark, d):
+    """Pages for one question per thread: by position, then by names that summaries lost, then by names at all."""
+    questions, episodes = _questions(spark, d), event_episodes(spark, d)
+    asked = router.named(questions, F.concat(code_names(F.col("text")), date_names(F.col("text"))))
+    position = router.sequence_references(questions).withColumn("rank", F.lit(1).cast("long")).withColumn("route", F.lit("sequence"))
+    lost = router.latest(asked.join(_losses(spark, d).select("thread_id", "name", "seq"), ["thread_id", "name"]), 4, "ledger")
+    words = router.latest(asked.join(_names(spark, d).select("thread_id", "name", "seq"), ["thread_id", "name"]), 2, "lexical")
+    return router.cascade(position.unionByName(lost).unionByName(words), episodes, 6, 90)
+
+
+@query()
+def page_names(spark, d):
+    """Names of all kinds in web pages, per page and kind (the lexer's claimed ranges have no SQL; see its tests)."""
+    from ..functions.names import name_rows
+
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("thread_id"), F.lit(1).cast("long").alias("seq"), F.col("html").alias("content"))
+    rows = name_rows(pages)
+    return rows.groupBy(F.col("thread_id").alias("page_id"), "kind").agg(F.count("*").alias("names"), F.min("start").alias("first_start"))

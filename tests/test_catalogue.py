@@ -35,5 +35,5 @@ def test_query_equals_sql(spark, oracle, name):
     assert rows(got) == rows(want)
 
 
-def test_every_query_has_sql():
-    assert set(catalogue.QUERIES) == set(catalogue.SQL)
+def test_every_query_has_sql_but_the_lexer():
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"page_names"}

@@ -69,3 +69,43 @@ def test_streams_equal_batch(spark, tmp_path):
     stated = lambda df: df.select("thread_id", F.col("event_type").alias("key"), "seq", F.length("content").cast("string").alias("value"))
     changes = incremental.run_to_table(incremental.revisions(stated(incremental.file_stream(spark, files, 3))), "changes", str(tmp_path / "changes"), str(tmp_path / "c2"))
     assert collected(changes.select("thread_id", "key", "value", "valid_from")) == collected(facts.revisions(stated(episodes)).select("thread_id", "key", "value", "valid_from"))
+
+
+def test_name_lexer():
+    from palimpsest.functions.names import COMMON, _lexers, lex
+
+    def names(text, most=64):
+        return [(n, k) for n, k, _, _ in lex(text, _lexers(frozenset(COMMON)), most)]
+
+    assert names("Paid $1,200.50 for 3 GB and 31 items, 45 more in 1999") == [("1200.5", "number"), ("3 gb", "number"), ("45", "number")]
+    assert names("on 2024-03-05, March 7, 2023, 9 Sept 2022, May 2021 and 3/4/2020") == [("2024-03-05", "date"), ("2023-03-07", "date"), ("2022-09-09", "date"), ("2021-05", "date"), ("2020-03-04", "date")]
+    assert names("We met Ada Lovelace. Ada knows. But then Grace's idea") == [("ada lovelace", "entity"), ("grace", "entity")]
+    assert names('she said "the quick brown Fox jumps over it" to src/main.py and fooBar, `a b`') == [("the quick brown fox jumps over", "quote"), ("src/main.py", "code"), ("foobar", "code"), ("a b", "code")]
+    assert names("\u27e8#12 Ada Lovelace\u27e9 p50 v2 3.14.1") == [("3.14", "number")]
+    assert names("Ada Lovelace wrote 99 ms here", 1) == [("99 ms", "number")]
+    text = "see Ada Lovelace"
+    assert [text[a:b] for _, _, a, b in lex(text, _lexers(frozenset(COMMON)))] == ["Ada Lovelace"]
+
+
+def test_sequence_references(spark):
+    from palimpsest.operators.router import sequence_references
+
+    asked = [(1, 7, "#12-40 and turn 3"), (2, 7, "issue #9, PR #8"), (3, 7, "345 apples"), (4, 7, "#5 #5 #6 #7 #8")]
+    got = sequence_references(spark.createDataFrame(asked, "question_id long, thread_id long, text string"))
+    assert sorted((r["question_id"], r["seq"]) for r in got.collect()) == [(1, s) for s in (3, 12, 13, 14, 15, 16, 17)] + [(4, 5), (4, 6), (4, 7)]
+
+
+def test_bundle_round_trip(spark, tmp_path):
+    import pytest
+
+    from palimpsest.sources import bundle
+
+    rows = spark.createDataFrame([(1, "a", None), (2, "b\n", 1.5)], "id long, text string, x double")
+    path = str(tmp_path / "out")
+    bundle.export({"rows": rows, "none": rows.where("id > 9")}, path)
+    back = bundle.load(spark, path)
+    assert collected(back["rows"]) == collected(rows) and collected(back["none"]) == []
+    rows.limit(1).write.mode("append").json(f"{path}/rows")
+    with pytest.raises(ValueError, match="manifest"):
+        bundle.load(spark, path)
+    assert collected(bundle.unresolved(rows, "id", rows.where("id = 1"), "id").select("id")) == [(2,)]

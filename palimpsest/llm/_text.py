@@ -9,6 +9,8 @@ polynomial hashes over a seeded byte table, finished with a mixing step.
 
 from __future__ import annotations
 
+import ctypes
+import platform
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _TABLE = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _powers: dict[int, np.ndarray] = {}
+_LIBC = ctypes.CDLL("libc.so.6") if platform.libc_ver()[0] == "glibc" else None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,6 +73,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         end = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back: a worker stays for the stages after its own, beside the executor's other tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def byte_prefix_hash(data: np.ndarray) -> np.ndarray:

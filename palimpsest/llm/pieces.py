@@ -2,7 +2,7 @@
 
 A text is split before every run of spaces (no piece crosses such a border), and each chunk is merged from its
 characters by an agenda of candidate pairs, best score first and leftmost on ties. With dropout p, a candidate taken
-from the agenda is skipped when a hash of (seed, variant, chunk, place, piece) falls below p; which variant a chunk
+from the agenda is skipped when a hash of (seed, variant, chunk, step, piece) falls below p; which variant a chunk
 takes is a hash of the document and the chunk's number in it. So the result is a function of the inputs and the seed
 alone, segmentations vary between occurrences, and a repeated (chunk, variant) is merged once. Without dropout this is
 the model's own encoding. Every encoding decodes to the text it came from.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import documents
-from ._text import mix
+from ._text import mix, slices
 
 SPACE = "▁"
 VARIANTS = 4
@@ -29,6 +30,11 @@ _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _U = np.uint64
 
 
+def _dropped(salt: np.ndarray, step: int, piece: np.ndarray) -> np.ndarray:
+    """32 bits that decide on the candidate of an agenda's step."""
+    return (salt ^ _U(step * 0x9E3779B1) ^ (piece * _U(0x85EBCA6B))) * _U(0xC2B2AE3D27D4EB4F) >> _U(32)
+
+
 class Pieces:
     """The vocabulary of a model file: ids and scores of the pieces that merging can make, and the byte pieces."""
 
@@ -49,6 +55,89 @@ class Pieces:
                 self.rank[piece] = (-model.get_score(i), i)
         self.plain = [("" if i in self.bytes_of or i < 3 else p).replace(SPACE, " ") for i, p in enumerate(self.text)]
 
+        # every way to make a piece of two: (left, right) as one number, in order, with the piece and its rank by score
+        ways = sorted((self.rank[p[:k]][1] << 20 | self.rank[p[k:]][1], i) for p, (_, i) in self.rank.items() for k in range(1, len(p)) if p[:k] in self.rank and p[k:] in self.rank)
+        self.pair = np.array([w[0] for w in ways], np.int64)
+        self.made = np.array([w[1] for w in ways], np.int64)
+        score = {i: s for s, i in self.rank.values()}
+        scores = np.array([score[i] for i in self.made.tolist()])
+        self.order = np.searchsorted(np.unique(scores), scores).astype(np.int32)
+
+    def _lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Place of each pair in the table, or -1; negative ids are in no pair."""
+        key = (left.astype(np.int64) << 20) | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        at[(self.pair[at] != key) | (left < 0) | (right < 0)] = -1
+        return at
+
+    def merge_many(self, chunks: list[str], dropout: float, salts: list[int]) -> list[list[int]]:
+        """merge() for many short chunks at once: a row each, one step of every agenda per round."""
+        out: list[list[int]] = [[]] * len(chunks)
+        lengths = np.array([len(c) for c in chunks])
+        below = np.uint64(int(dropout * 2**32))
+        for width in (4, 6, 8, 10, 12, 16, 24, 32):
+            low = {4: 0, 6: 4, 8: 6, 10: 8, 12: 10, 16: 12, 24: 16, 32: 24}[width]
+            which = np.flatnonzero((lengths > low) & (lengths <= width))
+            for lo in range(0, len(which), 4096):
+                part = which[lo : lo + 4096]
+                self._merge_rows([chunks[i] for i in part], np.array([salts[i] for i in part], np.uint64), below, width, part, out)
+        return out
+
+    def _merge_rows(self, chunks: list[str], salt: np.ndarray, below: np.uint64, width: int, where: np.ndarray, out: list[list[int]]) -> None:
+        n = len(chunks)
+        none = np.iinfo(np.int32).max
+        code = np.frombuffer("".join([c.ljust(width, "\0") for c in chunks]).encode("utf-32-le"), np.uint32)
+        letters, inverse = np.unique(code, return_inverse=True)
+        ids = np.array([self.rank.get(chr(c), (0, -2))[1] for c in letters.tolist()], np.int32)
+        sym = np.full((n, width + 1), -1, np.int32)
+        sym[:, :width] = ids[inverse.reshape(n, width)]
+        sym[:, :width][np.arange(width) >= np.array([len(c) for c in chunks])[:, None]] = -1
+        at = self._lookup(sym[:, :-1].ravel(), sym[:, 1:].ravel())
+        best = np.where(at >= 0, self.order[at], none).astype(np.int32).reshape(n, width)
+        live, step = np.arange(n), 0
+        while True:
+            rank = best[live]
+            j = rank.argmin(axis=1)
+            go = rank[np.arange(len(live)), j] < none
+            live, j = live[go], j[go]
+            if not len(live):
+                break
+            new = self.made[self._lookup(sym[live, j], sym[live, j + 1])]
+            rows = live
+            if below:
+                skip = _dropped(salt[live], step, new.astype(np.uint64)) < below
+                best[live[skip], j[skip]] = none  # off the agenda, until a neighbour changes
+                rows, j, new = live[~skip], j[~skip], new[~skip]
+            step += 1
+            if not len(rows):
+                continue
+            each = np.arange(len(rows))
+            for a, at, fill in ((sym, j + 1, -1), (best, j, none)):
+                stay = np.ones((len(rows), a.shape[1]), bool)
+                stay[each, at] = False
+                a[rows, :-1] = a[rows][stay].reshape(len(rows), -1)
+                a[rows, -1] = fill
+            sym[rows, j] = new
+            for shift in (-1, 0):
+                k = j + shift
+                ok = k >= 0
+                r, k = rows[ok], k[ok]
+                at = self._lookup(sym[r, k], sym[r, k + 1])
+                best[r, k] = np.where(at >= 0, self.order[at], none)
+        for row, chunk, i in zip(sym.tolist(), chunks, where.tolist()):
+            if -2 not in row:
+                out[i] = row[: row.index(-1)]
+                continue
+            ids, at = [], 0
+            for s in row[: row.index(-1)]:  # a character that is no piece is written in bytes
+                if s == -2:
+                    ids += [self.byte[b] for b in chunk[at].encode()]
+                    at += 1
+                else:
+                    ids.append(s)
+                    at += len(self.text[s])
+            out[i] = ids
+
     def merge(self, chunk: str, dropout: float = 0.0, key: bytes = b"") -> list[int]:
         """Ids of one chunk. Symbols are a linked list; stale agenda entries are told by their text."""
         rank = self.rank
@@ -58,13 +147,15 @@ class Pieces:
         agenda = [(*rank[pair], i, pair) for i in range(n - 1) if (pair := parts[i] + parts[i + 1]) in rank]
         heapq.heapify(agenda)
         below = int(dropout * 2**32)
-        salt = zlib.crc32(chunk.encode(), zlib.crc32(key)) if below else 0
+        salt = zlib.crc32(chunk.encode(), zlib.crc32(key)) if below else 0  # as in encode_batch
+        step = -1
         while agenda:
             _, piece, i, pair = heapq.heappop(agenda)
             j = after[i]
             if not parts[i] or j >= n or parts[i] + parts[j] != pair:
                 continue
-            if below and (((salt ^ (i * 0x9E3779B1) ^ (piece * 0x85EBCA6B)) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF) >> 32) < below:
+            step += 1
+            if below and (((salt ^ (step * 0x9E3779B1) ^ (piece * 0x85EBCA6B)) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF) >> 32) < below:
                 continue
             parts[i], parts[j] = pair, ""
             k = after[i] = after[j]
@@ -85,37 +176,56 @@ class Pieces:
                     out += [self.byte[b] for b in part.encode()]
         return out
 
-    def encode(self, text: str, dropout: float = 0.0, seed: int = 0, key: int = 0, cache: list[dict[str, list[int]]] | None = None) -> list[int]:
-        """Ids of a text. A literal U+2581 in it is written in bytes, so that it doesn't come back as a space."""
+    def chunks(self, text: str) -> list[str]:
+        """The chunks of a text. A literal U+2581 in it is its own chunk, marked by a second one, to be written in
+        bytes, so that it doesn't come back as a space."""
         if not text:
             return []
-        variants = len(cache) if cache else 1
-        chunks: list[str | None] = []
+        if SPACE not in text:
+            return _CHUNK.findall(SPACE + text.replace(" ", SPACE))
+        out: list[str] = []
         for k, clean in enumerate(text.split(SPACE)):
             if k:
-                chunks.append(None)
-            marked = (SPACE if not k else "") + clean.replace(" ", SPACE)
-            chunks += _CHUNK.findall(marked)
-        cache = cache if cache is not None else [{}]
-        if variants > 1:
-            pick = (mix(np.arange(len(chunks), dtype=np.uint64) + _U(key & 0xFFFFFFFFFFFFFFFF)) % _U(variants)).tolist()
-        else:
-            pick = [0] * len(chunks)
-        out: list[int] = []
-        for chunk, v in zip(chunks, pick):
-            if chunk is None:
-                out += [self.byte[b] for b in SPACE.encode()]
-                continue
-            ids = cache[v].get(chunk)
-            if ids is None:
-                ids = self.merge(chunk, dropout, b"%d:%d" % (seed, v))
-                if len(chunk) <= 64:
-                    if len(cache[v]) >= 60_000:
-                        cache[v].clear()
-                    cache[v][chunk] = ids
-            out += ids
+                out.append("")
+            out += _CHUNK.findall((SPACE if not k else "") + clean.replace(" ", SPACE))
         return out
 
+    def encode_batch(self, texts: list[str], keys: list[int], dropout: float, seed: int, cache: list[dict[str, list[int]]]) -> list[list[int]]:
+        """Ids of several texts; `cache` has one dict for each variant."""
+        split = [self.chunks(t) for t in texts]
+        picks = [(mix(np.arange(len(c), dtype=np.uint64) + _U(k & 0xFFFFFFFFFFFFFFFF)) % _U(len(cache))).tolist() for c, k in zip(split, keys)]
+        parts = [[cache[v].get(c) for c, v in zip(chunks, pick)] for chunks, pick in zip(split, picks)]
+        missing: list[set[str]] = [set() for _ in cache]
+        for have, chunks, pick in zip(parts, split, picks):
+            if None in have:
+                for ids, c, v in zip(have, chunks, pick):
+                    if ids is None:
+                        missing[v].add(c)
+        fresh: list[dict[str, list[int]]] = []
+        for v, want in enumerate(missing):
+            key = zlib.crc32(b"%d:%d" % (seed, v))
+            short = [c for c in want if 0 < len(c) <= 32]
+            found = dict(zip(short, self.merge_many(short, dropout, [zlib.crc32(c.encode(), key) for c in short])))
+            for c in want:
+                if len(c) > 32:
+                    found[c] = self.merge(c, dropout, b"%d:%d" % (seed, v))
+            found[""] = [self.byte[b] for b in SPACE.encode()]
+            fresh.append(found)
+        out = []
+        for have, chunks, pick in zip(parts, split, picks):
+            if None in have:
+                have = [fresh[v][c] if ids is None else ids for ids, c, v in zip(have, chunks, pick)]
+            out.append(list(itertools.chain.from_iterable(have)))
+        for v, found in enumerate(fresh):
+            if len(cache[v]) + len(found) > 80_000:
+                cache[v].clear()
+            if len(found) < 80_000:
+                cache[v].update((c, i) for c, i in found.items() if len(c) <= 64)
+        return out
+
+    def encode(self, text: str, dropout: float = 0.0, seed: int = 0, key: int = 0, variants: int = 1) -> list[int]:
+        return self.encode_batch([text], [key], dropout, seed, [{} for _ in range(variants)])[0]
+
     def decode(self, ids: list[int]) -> str:
         """The text of an encoding: byte pieces give bytes, others their text, and the space put first goes."""
         plain, bytes_of = self.plain, self.bytes_of
@@ -160,11 +270,12 @@ def encode(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed
         pieces = _pieces(model)
         cache: list[dict[str, list[int]]] = [{} for _ in range(variants if dropout else 1)]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, "text"):
                 keys = mix(np.array([-1 if d is None else d for d in part.column(0).to_pylist()], np.int64).astype(np.uint64) + _U(seed)).tolist()
-                ids = [pieces.encode(text.as_py() or "", dropout, seed, key, cache) for key, text in zip(keys, part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                ids = pieces.encode_batch([t or "" for t in part.column(1).to_pylist()], keys, dropout, seed, cache)
+                flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, sum(map(len, ids)))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(i) for i in ids])).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -120,7 +120,12 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 4.0,
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Fit on at most `rows` labelled texts, those with the least hash of doc_id; rows without text or lang are out."""
-    sample = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("text", 1, chars).alias("text"), "lang").limit(rows).collect()
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, chars).alias("text"), "lang")
+    # keys first, so that what reaches the driver doesn't grow with the number of tasks
+    keys = labelled.select("h", F.lit(1).alias("one")).orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()
+    if keys["h"] is None:
+        return fit([], [])
+    sample = labelled.where(F.col("h") <= keys["h"]).orderBy("h", "doc_id", "text", "lang").limit(rows).collect()
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 

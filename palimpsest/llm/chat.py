@@ -48,9 +48,9 @@ def unescape_role(role: str) -> str:
 def _encoding(path: str | None):
     import public_tokenizers
 
-    from .packing import _encoder
+    from .packing import Encoder
 
-    return _encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
+    return Encoder(path or public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def encode_turns(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -58,17 +58,17 @@ def encode_turns(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoding(tokenizer)
-        roles: dict[str, list[int]] = {}
+        roles: dict[str, np.ndarray] = {}
         for batch in batches:
             role_ids, text_ids = [], []
             for role in batch.column(2).to_pylist():
                 if role not in roles:
                     if len(roles) > 10_000:
                         roles.clear()
-                    roles[role] = encoder.encode_ordinary(escape_role(role) + "\n")
+                    roles[role] = encoder.encode(escape_role(role) + "\n")
                 role_ids.append(roles[role])
             for text in batch.column(3):
-                text_ids.append(encoder.encode_ordinary(escape(text.as_py())))
+                text_ids.append(encoder.encode(escape(text.as_py())))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(role_ids, pa.list_(pa.int32())), pa.array(text_ids, pa.list_(pa.int32())), batch.column(4)], ["conv_id", "turn", "role", "role_ids", "text_ids", "tie"])
 
     empty = F.lit("")
@@ -87,7 +87,7 @@ def format_conversations(turns: DataFrame, tokenizer: str | None = None, part_to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoding(tokenizer)
-        newline = encoder.encode_ordinary("\n")
+        newline = encoder.encode("\n")
         held: object = run  # no conversation yet
         part, size = 0, 0
         ids: list[np.ndarray] = []

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,8 @@ from ._shared import documents, text_of, written
 CAPACITY = 1024
 END_ID = 2
 SPECIAL = {"<|endoftext|>": 50256}
+LONG_RUN = 50_000
+_LONG = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}|(?<!\S)\S{{{LONG_RUN}}}")  # looks at each run once
 
 
 class OpenBins:
@@ -99,20 +102,41 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[st
     return {k: np.array([r[i] for r in runs], np.int64) for i, k in enumerate(("length", "rank", "seq", "per", "offset"))}
 
 
-def _encoder(path: str):
-    """The byte-level BPE of a tokenizers JSON file as a tiktoken encoding: same ids, several times faster."""
-    import json
+class Encoder:
+    """The byte-level BPE of a tokenizers JSON file. Texts go through tiktoken, which gives the same ids several times
+    faster; those with LONG_RUN characters of white space, or without any, go through tokenizers itself, as the regular
+    expression of tiktoken runs out of stack there."""
 
-    import public_tokenizers
-    import tiktoken
+    def __init__(self, path: str):
+        import json
 
-    with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    # the byte alphabet of byte-level BPE: printable bytes stand for themselves, the others follow from 256 on
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in SPECIAL}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        # the byte alphabet of byte-level BPE: printable bytes stand for themselves, the others follow from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in SPECIAL}
+        self._fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        self._path = path
+        self._whole = None
+        self.decode_bytes = self._fast.decode_bytes
+
+    def _slow(self):
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self._path)
+        return self._whole
+
+    def encode(self, text: str) -> np.ndarray:
+        if len(text) >= LONG_RUN and _LONG.search(text):
+            return np.array(self._slow().encode(text, add_special_tokens=False).ids, np.uint32)
+        if any(t in text for t in SPECIAL):
+            return self._fast.encode_to_numpy(text, allowed_special="all")
+        return self._fast.encode_to_numpy(text, disallowed_special=())
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -123,7 +147,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = Encoder(tokenizer)
         end = np.array([end_id], np.uint32)
         seen: dict[bytes, list[tuple[int, int, int]]] = {}  # copies of a text are encoded once; bounded below
         for batch in batches:
@@ -133,8 +157,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: in
                 key = hashlib.blake2b(text.encode(), digest_size=16).digest()
                 cuts = seen.get(key)
                 if cuts is None:
-                    ids = encoder.encode_to_numpy(text, allowed_special="all") if "<|endoftext|>" in text else encoder.encode_to_numpy(text, disallowed_special=())
-                    ids = np.concatenate([ids, end]).astype("<u4")
+                    ids = np.concatenate([encoder.encode(text), end]).astype("<u4")
                     n = len(ids)
                     first = (n - 1) % capacity + 1
                     edges = [0, *range(first, n + 1, capacity)]

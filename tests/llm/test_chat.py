@@ -16,6 +16,7 @@ TURNS = [
     (3, None, "user\nx", "first"),
     (3, 1, "assistant", "é𝄞 " * 300),
     (None, 1, "user", "no id"),
+    (4, 0, "assistant", "x" + " " * 1_000_000),
 ]
 
 
@@ -30,7 +31,7 @@ def test_escape_is_reversible(text):
 def test_round_trip(spark, part_tokens):
     turns = spark.createDataFrame([(*t, 1) for t in TURNS], "conv_id long, turn long, role string, text string, ids int")
     got = {r["conv_id"]: r for r in chat.conversation_digests(chat.format_conversations(turns, part_tokens=part_tokens)).collect()}
-    assert set(got) == {1, 2, 3, None}
+    assert set(got) == {1, 2, 3, 4, None}
     for conv, r in got.items():
         mine = sorted((t for t in TURNS if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0))
         said = "".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in mine)

@@ -57,5 +57,18 @@ def test_pieces_and_places(spark):
     assert max(ends.values()) <= 1024
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "\t" * 1_000_000 + "x", "a" + " \n" * 500_000 + "b c", "x" * 1_000_000, "!?" * 60_000 + " <|endoftext|>" + " " * 60_000])
+def test_long_runs_encode_as_tokenizers_does(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.Encoder(path).encode(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_long_white_space_is_packed(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "a b")], "doc_id long, text string")
+    got = packing.best_fit_packing(docs).groupBy("doc_id").sum("length").collect()
+    n = len(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(" " * 1_000_000, add_special_tokens=False).ids)
+    assert sorted(map(tuple, got)) == [(1, n + 1), (2, 3)]
+
+
 def test_empty_table(spark):
     assert packing.best_fit_packing(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import documents, written
@@ -108,8 +108,13 @@ def _class_ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(mix(one[first[1:]] - one[first[:-1]]) + np.diff(first).astype(np.uint64)).astype(np.int64)
 
 
+def _tag() -> Column:
+    """Tells rows apart: one row of a class, and its repetitions, stands for all."""
+    return F.xxhash64("doc_id", "text")
+
+
 def shingle_signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, class (id of the set) and its band keys (none for an empty set)."""
+    """doc_id, tag (of the row), n_shingles, class (id of the set) and its band keys (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,13 +123,13 @@ def shingle_signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS,
                 keys = band_keys(superminhash(h, first, bands * rows), bands, rows)
                 some = np.diff(first) > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(some * bands)).astype(np.int32)), pa.array(keys[some].ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(_class_ids(h, first)), lists], ["doc_id", "n_shingles", "class", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(first)), pa.array(_class_ids(h, first)), lists], ["doc_id", "tag", "n_shingles", "class", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long, keys array<long>")
+    return docs.select("doc_id", "text", _tag()).mapInArrow(run, "doc_id long, tag long, n_shingles long, class long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """class and its full set, as sorted hashes."""
+    """class and its full set, as sorted hashes; each class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +137,8 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 h, first = _sets(part.column(0), width)
                 yield pa.RecordBatch.from_arrays([pa.array(_class_ids(h, first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.astype(np.int64)))], ["class", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "class long, shingles array<long>")
+    sets = docs.select("text").mapInArrow(run, "class long, shingles array<long>")
+    return sets.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -158,17 +164,11 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return prefix.join(other.withColumnRenamed("h", "h2"), (F.col("h") == F.col("h2")) & near).select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the group) and kept (doc_id = component_id) for each row.
-
-    Texts with fewer words than `width` have their whole word sequence as the one shingle. Null, empty and blank texts
-    have an empty set and stand alone. Rows with a null doc_id link others but never name a group: such a row alone
-    has a null component_id and kept = false. Repeated rows come back once each. An empty table gives an empty result;
-    extra columns are ignored.
-    """
+def _groups(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with doc_id, tag, n_shingles and class, class -> root of its group and component_id)."""
     base = written(shingle_signatures(docs, width, bands, rows), "signatures")
     filled = base.where("n_shingles > 0")
-    reps = filled.groupBy("class").agg(F.min("doc_id").alias("rep"))
+    reps = filled.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("tag").alias("tag"))
     keyed = filled.select("class", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("top"), F.count("*").alias("met")).where("low < top").select("key", "met")
     found = written(keyed.join(shared, "key").select("key", "met", "class").distinct(), "buckets")
@@ -177,8 +177,9 @@ def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, percent: int = PE
     leads = found.join(central, "class").groupBy("key").agg(F.max(F.struct("meets", "class"))["class"].alias("lead"))
     members = written(found.join(leads, "key").select("key", "lead", "class"), "buckets")
     first = written(members.where("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct(), "pairs")
-    wanted = reps.join(members.select("class").distinct(), "class").select(F.col("rep").alias("doc_id"))
-    sets = written(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), width), "sets")
+    wanted = reps.join(members.select("class").distinct(), "class").select("tag")
+    tagged = docs.select("doc_id", "text").withColumn("tag", _tag())
+    sets = written(shingle_sets(tagged.join(wanted, "tag", "left_semi"), width), "sets")
     links = written(_linked(first, sets, percent), "links")
     groups = connected_components(links)
     # buckets that still hold several groups
@@ -194,11 +195,41 @@ def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, percent: int = PE
         groups = connected_components(links.union(found))
     named = reps.join(groups.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    names = written(named.join(smallest, "root").select("class", "component_id"), "groups")
-    ids = filled.select("doc_id", "n_shingles", "class").join(names, "class").select("doc_id", "n_shingles", "component_id")
+    return base, written(named.join(smallest, "root").select("class", "root", "component_id"), "groups")
+
+
+def near_duplicate_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id of the group) and kept (doc_id = component_id) for each row.
+
+    Texts with fewer words than `width` have their whole word sequence as the one shingle. Null, empty and blank texts
+    have an empty set and stand alone. Rows with a null doc_id link others but never name a group: a group of such rows
+    alone has a null component_id and kept = false. Repeated rows come back once each. An empty table gives an empty
+    result; extra columns are ignored.
+    """
+    base, names = _groups(docs, width, percent, bands, rows)
+    ids = base.where("n_shingles > 0").join(names, "class").select("doc_id", "n_shingles", "component_id")
     out = ids.union(base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def one_of_each_group(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of docs, all columns, with one text of each near-duplicate group: that of least doc_id (a null one comes
+    last), then of the least hash of its row. Rows repeated in doc_id and text stay once, that with the least other
+    columns; so a doc_id with two different texts keeps both unless they are near copies. Texts without words stay.
+    """
+    base, names = _groups(docs, width, percent, bands, rows)
+    grouped = base.where("n_shingles > 0").join(names, "class")
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")).alias("first"))
+    stay = first.select("first.tag").withColumn("alone", F.lit(False)).union(base.where("n_shingles = 0").select("tag", F.lit(True)).distinct())
+    columns = docs.columns
+    plain = [f"c{i}" for i in range(len(columns))]
+    # the text is the same in all repetitions, so it comes last in their order
+    order = sorted(range(len(columns)), key=lambda i: columns[i] == "text")
+    raw = docs.select(_tag(), *columns).toDF("tag", *plain)
+    kept = raw.join(stay, "tag")
+    once = kept.where("not alone").groupBy("tag").agg(F.min(F.struct(*[plain[i] for i in order])).alias("row")).select(*[F.col("row")[c] for c in plain])
+    return once.union(kept.where("alone").select(*plain)).toDF(*columns)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(documents(spark, sf_dir))

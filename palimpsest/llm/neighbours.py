@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,26 +89,36 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def filter_rows(vectors: DataFrame, codes: list[ProductCode], dim: int) -> DataFrame:
-    """(id, filter) for all filters of each vector, in all codes."""
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, places) of the vectors of each length."""
+    n = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for dim in np.unique(n):
+        yield int(dim), np.flatnonzero(n == dim)
 
-    def decode(unit: np.ndarray) -> list[np.ndarray]:
-        each = [c.decode(unit) for c in codes]
-        return [np.concatenate([found[i] * len(codes) + k for k, found in enumerate(each)]) for i in range(len(unit))]
+
+def filter_rows(vectors: DataFrame, sizes: dict[int, int], limit: float, shared: float) -> DataFrame:
+    """(id, filter) for all filters of each vector, in all codes for its length; `sizes` tells how many vectors of each
+    length there are. Codes are made in the tasks, from their arguments; a filter's upper bits are the length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[int, list[ProductCode]] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                x = _matrix(part.column(1), dim).astype(np.float64)
-                found = decode(x / np.linalg.norm(x, axis=1, keepdims=True))
-                n = np.array([len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.concatenate(found).astype(np.int64))], ["id", "filter"])
+            for dim, places in _by_length(batch.column(1)):
+                if dim not in codes:
+                    codes = {dim: [ProductCode(dim, sizes[dim], limit, shared / CODES, seed) for seed in range(CODES)]}
+                step = max(16, min(512, (1 << 21) // codes[dim][0].words))  # bounded score matrices
+                for at in range(0, len(places), step):
+                    part = batch.take(pa.array(places[at : at + step]))
+                    x = _matrix(part.column(1), dim).astype(np.float64)
+                    each = [c.decode(x / np.linalg.norm(x, axis=1, keepdims=True)) for c in codes[dim]]
+                    found = [np.concatenate([f[i] * CODES + k for k, f in enumerate(each)]) for i in range(len(x))]
+                    n = np.array([len(f) for f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.concatenate(found).astype(np.int64) + (dim << 44))], ["id", "filter"])
 
     return vectors.select("id", "vector").mapInArrow(run, "id long, filter long")
 
 
-def _compare(dim: int, limit: float):
+def _compare(limit: float):
     """Links among rows (filter, i, j, block, id, vector) sorted by (filter, i, j): within a block, or across two."""
 
     def links(ids: np.ndarray, block: np.ndarray, x: np.ndarray, group: np.ndarray, across: np.ndarray) -> pa.RecordBatch:
@@ -135,57 +146,54 @@ def _compare(dim: int, limit: float):
                 new = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))
                 last = int(np.flatnonzero(new)[-1])  # the last group may go on
                 if last:
-                    yield _of(held.slice(0, last), new[:last])
+                    yield from _of(held.slice(0, last), new[:last])
                     held = held.slice(last)
         if held is not None and held.num_rows:
             key = np.stack([held[c].to_numpy() for c in ("filter", "i", "j")])
-            yield _of(held, np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+            yield from _of(held, np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
 
-    def _of(rows: pa.Table, new: np.ndarray) -> pa.RecordBatch:
-        x = _matrix(rows["vector"].combine_chunks(), dim).astype(np.float64)
-        return links(rows["id"].to_numpy(), rows["block"].to_numpy(), x, np.cumsum(new), rows["i"].to_numpy() != rows["j"].to_numpy())
+    def _of(rows: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = np.cumsum(new)
+        for dim, places in _by_length(rows["vector"].combine_chunks()):  # vectors of a filter have one length
+            part = rows.take(pa.array(places))
+            x = _matrix(part["vector"].combine_chunks(), dim).astype(np.float64)
+            yield links(part["id"].to_numpy(), part["block"].to_numpy(), x, group[places], part["i"].to_numpy() != part["j"].to_numpy())
 
     return run
 
 
-def similar_pairs(vectors: DataFrame, dim: int, rows: int, limit: float = LIMIT, shared: float = SHARED) -> DataFrame:
-    """Distinct pairs (a < b) of ids of `vectors` (id, vector) that share a filter and have cosine >= limit."""
-    codes = [ProductCode(dim, rows, limit, shared / CODES, seed) for seed in range(CODES)]
-    hits = written(filter_rows(vectors, codes, dim), "filters")
+def similar_pairs(vectors: DataFrame, limit: float = LIMIT, shared: float = SHARED) -> DataFrame:
+    """Distinct pairs (a < b) of ids of `vectors` (id, vector) of one length that share a filter and have cosine >= limit."""
+    sizes = {r["dim"]: r["count"] for r in vectors.groupBy(F.size("vector").alias("dim")).count().collect()}  # one row per length
+    hits = written(filter_rows(vectors, sizes, limit, shared), "filters")
     sizes = hits.groupBy("filter").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     placed = hits.join(sizes, "filter").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = placed.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = other.select("filter", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "id")
     dealt = dealt.join(vectors.select("id", "vector"), "id").select("filter", "i", "j", "block", "id", "vector")
-    near = dealt.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j").mapInArrow(_compare(dim, limit), "a long, b long")
+    near = dealt.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j").mapInArrow(_compare(limit), "a long, b long")
     return near.distinct()
 
 
 def embedding_near_duplicates(table: DataFrame, limit: float = LIMIT, shared: float = SHARED) -> DataFrame:
     """vec_id, n_links, component_id and kept (vec_id = component_id) for each row (vec_id, embedding).
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do vectors of
-    another length than the most frequent one (the longest, on ties). Equal vectors are one class and count as links of
-    each other without being listed. Rows with a null vec_id link with nothing and have a null component_id. Repeated
-    rows are rows of their own. An empty table gives an empty result; extra columns are ignored.
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Vectors of different
+    lengths have no cosine, so each length links among itself. Equal vectors are one class and count as links of each
+    other without being listed. Rows with a null vec_id link with nothing and have a null component_id. Repeated rows are
+    rows of their own. An empty table gives an empty result; extra columns are ignored.
     """
     e = F.col("embedding")
     fine = F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
-    rows = table.select("vec_id", "embedding", fine.alias("fine"), F.size("embedding").alias("dim"))
-    common = rows.where("fine").groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
-    dim = common[0]["dim"] if common else 0
-    rows = rows.withColumn("fine", F.col("fine") & (F.col("dim") == dim)).withColumn("one", F.xxhash64("embedding")).withColumn("two", F.hash("embedding"))
+    rows = table.select("vec_id", "embedding", fine.alias("fine"), F.xxhash64("embedding").alias("one"), F.hash("embedding").alias("two"))
     alone = rows.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if not dim:
-        return alone.withColumn("kept", F.col("vec_id").isNotNull())
     classes = rows.where("fine").groupBy("one", "two").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     classes = written(classes, "classes")
     # the class's vector is that of its first row; repeated ids are told by their vector
     vectors = rows.where("fine").join(classes.select("one", "two", "id"), ["one", "two"]).where("vec_id = id").select("one", "two", "embedding").dropDuplicates(["one", "two"])
     vectors = written(vectors.select(F.xxhash64("one", "two").alias("id"), F.col("embedding").alias("vector")), "vectors")
-    n = vectors.count()
-    links = written(similar_pairs(vectors, dim, n, limit, shared), "links")
+    links = written(similar_pairs(vectors, limit, shared), "links")
     groups = connected_components(links)
     named = classes.withColumn("key", F.xxhash64("one", "two"))
     ends = links.union(links.select("b", "a")).toDF("key", "other")

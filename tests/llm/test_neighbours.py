@@ -51,3 +51,19 @@ def test_empty_and_repeated(spark):
     assert neighbours.embedding_near_duplicates(none).collect() == []
     twice = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [-1.0, 2.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in neighbours.embedding_near_duplicates(twice).collect()) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
+
+
+def test_each_length_links_among_itself(spark):
+    rows = [(i, [1.0, 2.0, 3.0 + 0.01 * i]) for i in range(5)] + [(10, [1.0] * 5), (11, [1.0] * 5), (12, [1.0, 1.0, 1.0, 1.0, 1.1]), (20, [3.0]), (21, [4.0]), (22, [-4.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {**{i: (4, 0) for i in range(5)}, 10: (2, 10), 11: (2, 10), 12: (2, 10), 20: (1, 20), 21: (1, 20), 22: (0, 22)}
+
+
+def test_query_recall(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {r["vec_id"]: r for r in neighbours.op9_embedding_near_dedup(spark, folder).collect()}
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    want = brute(np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64))
+    assert set(got) == set(want)
+    found, true = sum(got[i]["n_links"] for i in want), sum(n for n, _ in want.values())
+    assert 0.9 * true <= found <= true

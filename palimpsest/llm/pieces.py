@@ -2,18 +2,19 @@
 
 A text is split before every run of spaces (no piece crosses such a border), and each chunk is merged from its
 characters by an agenda of candidate pairs, best score first and leftmost on ties. With dropout p, a candidate taken
-from the agenda is skipped when a hash of (seed, variant, chunk, step, piece) falls below p; which variant a chunk
-takes is a hash of the document and the chunk's number in it. So the result is a function of the inputs and the seed
-alone, segmentations vary between occurrences, and a repeated (chunk, variant) is merged once. Without dropout this is
-the model's own encoding. Every encoding decodes to the text it came from.
+from the agenda is skipped when a hash of (seed, doc_id, the chunk's place in the document, step, piece) falls below p; it
+comes back only when a neighbour has changed. So every occurrence of a word is segmented by itself, and the result is a
+function of the inputs and the seed alone. Without dropout this is the model's own encoding. Every encoding decodes to the
+text it came from.
+
+All chunks of a slice of texts step together in numpy: a column for each chunk, a row for each of its characters, one
+step of every agenda a round. Only chunks of over 32 characters go one by one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,14 +26,55 @@ from ._shared import documents
 from ._text import mix, slices
 
 SPACE = "▁"
-VARIANTS = 4
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32)  # chunks are padded to one of these
+BLOCK = 8192  # chunks that step together
+_NONE = 1 << 62  # no candidate
 _U = np.uint64
+_M = (1 << 64) - 1
 
 
 def _dropped(salt: np.ndarray, step: int, piece: np.ndarray) -> np.ndarray:
     """32 bits that decide on the candidate of an agenda's step."""
-    return (salt ^ _U(step * 0x9E3779B1) ^ (piece * _U(0x85EBCA6B))) * _U(0xC2B2AE3D27D4EB4F) >> _U(32)
+    return (salt ^ _U(step * 0x9E3779B1) ^ (piece.astype(np.uint64) * _U(0x85EBCA6B))) * _U(0xC2B2AE3D27D4EB4F) >> _U(32)
+
+
+class PairTable:
+    """(left piece, right piece) -> score rank << 32 | merged piece, as an open hash table in arrays."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.bits = max(4, (4 * len(key)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.full(1 << self.bits, _NONE, np.int64)
+        slot = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.values[slot[put]] = key[put], value[put]
+            rest = np.ones(len(key), bool)
+            rest[put] = False
+            key, value, slot = key[rest], value[rest], self._next(slot[rest])
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
+
+    def _next(self, slot: np.ndarray) -> np.ndarray:
+        return (slot + 1) & ((1 << self.bits) - 1)
+
+    def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """_NONE for pairs that make no piece; negative numbers are in no pair."""
+        key = (left.astype(np.int64) << 20) | right
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.values[slot], _NONE)
+        more = np.flatnonzero((there != key) & (there >= 0))
+        while len(more):
+            slot_more = slot[more] = self._next(slot[more])
+            there = self.keys[slot_more]
+            hit = there == key[more]
+            out[more[hit]] = self.values[slot_more[hit]]
+            more = more[~hit & (there >= 0)]
+        return out
 
 
 class Pieces:
@@ -43,206 +85,184 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.text = [model.id_to_piece(i) for i in range(n)]
-        self.byte = [-1] * 256
+        text = [model.id_to_piece(i) for i in range(n)]
+        self.byte = np.full(256, -1, np.int32)
         self.rank: dict[str, tuple[float, int]] = {}
-        self.bytes_of: dict[int, int] = {}
-        for i, piece in enumerate(self.text):
+        spelt = []
+        for i, piece in enumerate(text):
             if model.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
-                self.bytes_of[i] = int(piece[3:5], 16)
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+                spelt.append(bytes([int(piece[3:5], 16)]))
+            elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+                spelt.append(b"")
+            else:
                 self.rank[piece] = (-model.get_score(i), i)
-        self.plain = [("" if i in self.bytes_of or i < 3 else p).replace(SPACE, " ") for i, p in enumerate(self.text)]
-
-        # every way to make a piece of two: (left, right) as one number, in order, with the piece and its rank by score
-        ways = sorted((self.rank[p[:k]][1] << 20 | self.rank[p[k:]][1], i) for p, (_, i) in self.rank.items() for k in range(1, len(p)) if p[:k] in self.rank and p[k:] in self.rank)
-        self.pair = np.array([w[0] for w in ways], np.int64)
-        self.made = np.array([w[1] for w in ways], np.int64)
-        score = {i: s for s, i in self.rank.values()}
-        scores = np.array([score[i] for i in self.made.tolist()])
-        self.order = np.searchsorted(np.unique(scores), scores).astype(np.int32)
-
-    def _lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Place of each pair in the table, or -1; negative ids are in no pair."""
-        key = (left.astype(np.int64) << 20) | right
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        at[(self.pair[at] != key) | (left < 0) | (right < 0)] = -1
-        return at
-
-    def merge_many(self, chunks: list[str], dropout: float, salts: list[int]) -> list[list[int]]:
-        """merge() for many short chunks at once: a row each, one step of every agenda per round."""
-        out: list[list[int]] = [[]] * len(chunks)
-        lengths = np.array([len(c) for c in chunks])
-        below = np.uint64(int(dropout * 2**32))
-        for width in (4, 6, 8, 10, 12, 16, 24, 32):
-            low = {4: 0, 6: 4, 8: 6, 10: 8, 12: 10, 16: 12, 24: 16, 32: 24}[width]
-            which = np.flatnonzero((lengths > low) & (lengths <= width))
-            for lo in range(0, len(which), 4096):
-                part = which[lo : lo + 4096]
-                self._merge_rows([chunks[i] for i in part], np.array([salts[i] for i in part], np.uint64), below, width, part, out)
-        return out
-
-    def _merge_rows(self, chunks: list[str], salt: np.ndarray, below: np.uint64, width: int, where: np.ndarray, out: list[list[int]]) -> None:
-        n = len(chunks)
-        none = np.iinfo(np.int32).max
-        code = np.frombuffer("".join([c.ljust(width, "\0") for c in chunks]).encode("utf-32-le"), np.uint32)
-        letters, inverse = np.unique(code, return_inverse=True)
-        ids = np.array([self.rank.get(chr(c), (0, -2))[1] for c in letters.tolist()], np.int32)
-        sym = np.full((n, width + 1), -1, np.int32)
-        sym[:, :width] = ids[inverse.reshape(n, width)]
-        sym[:, :width][np.arange(width) >= np.array([len(c) for c in chunks])[:, None]] = -1
-        at = self._lookup(sym[:, :-1].ravel(), sym[:, 1:].ravel())
-        best = np.where(at >= 0, self.order[at], none).astype(np.int32).reshape(n, width)
+                spelt.append(piece.replace(SPACE, " ").encode())
+        self.size = np.array([len(x) for x in spelt])
+        self.begin = np.append(0, np.cumsum(self.size)[:-1])
+        self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
+        # the piece of each character; a space is the mark, and the mark itself must be written in bytes
+        self.letter = np.full(0x110000, -2, np.int32)
+        for piece, (_, i) in self.rank.items():
+            if len(piece) == 1:
+                self.letter[ord(piece)] = i
+        self.letter[ord(" ")], self.letter[ord(SPACE)] = self.letter[ord(SPACE)], -2
+        # every way to make a piece of two
+        ways = [(self.rank[p[:k]][1] << 20 | self.rank[p[k:]][1], i) for p, (_, i) in self.rank.items() for k in range(1, len(p)) if p[:k] in self.rank and p[k:] in self.rank]
+        score = np.zeros(n)
+        score[[i for _, i in self.rank.values()]] = [s for s, _ in self.rank.values()]
+        made = np.array([w[1] for w in ways], np.int64)
+        order = np.searchsorted(np.unique(score[made]), score[made])
+        self.pairs = PairTable(np.array([w[0] for w in ways], np.int64), (order << 32) | made)
+
+    def _merge_block(self, sym: np.ndarray, salt: np.ndarray, below: np.uint64) -> None:
+        """Merge chunks in place: sym (width + 1, chunks) has their pieces, -1 behind their ends. A merged pair's piece
+        takes the place of the left one, the right one becomes -1."""
+        high, n = sym.shape
+        row = np.arange(high)[:, None]
+        agenda = np.full((high, n), _NONE, np.int64)
+        agenda[:-1] = self.pairs.get(sym[:-1].ravel(), sym[1:].ravel()).reshape(high - 1, n) + (row[:-1] << 24)
+        after = np.repeat(row + 1, n, axis=1).ravel()
+        before = np.repeat((row - 1) % high, n, axis=1).ravel()  # the last row stands for no neighbour
+        flat = sym.ravel()
         live, step = np.arange(n), 0
         while True:
-            rank = best[live]
-            j = rank.argmin(axis=1)
-            go = rank[np.arange(len(live)), j] < none
-            live, j = live[go], j[go]
-            if not len(live):
-                break
-            new = self.made[self._lookup(sym[live, j], sym[live, j + 1])]
-            rows = live
+            best = agenda.min(axis=0)
+            a = np.flatnonzero(best < _NONE)
+            if len(a) < 0.7 * len(live):
+                agenda, live, best, a = agenda[:, a], live[a], best[a], np.arange(len(a))
+            if not len(a):
+                return
+            best = best[a]
+            j, piece = (best >> 24) & 255, best & 0xFFFFFF
             if below:
-                skip = _dropped(salt[live], step, new.astype(np.uint64)) < below
-                best[live[skip], j[skip]] = none  # off the agenda, until a neighbour changes
-                rows, j, new = live[~skip], j[~skip], new[~skip]
+                skip = _dropped(salt[live[a]], step, piece) < below
+                agenda[j[skip], a[skip]] = _NONE  # off the agenda, until a neighbour changes
+                a, j, piece = a[~skip], j[~skip], piece[~skip]
             step += 1
-            if not len(rows):
-                continue
-            each = np.arange(len(rows))
-            for a, at, fill in ((sym, j + 1, -1), (best, j, none)):
-                stay = np.ones((len(rows), a.shape[1]), bool)
-                stay[each, at] = False
-                a[rows, :-1] = a[rows][stay].reshape(len(rows), -1)
-                a[rows, -1] = fill
-            sym[rows, j] = new
-            for shift in (-1, 0):
-                k = j + shift
-                ok = k >= 0
-                r, k = rows[ok], k[ok]
-                at = self._lookup(sym[r, k], sym[r, k + 1])
-                best[r, k] = np.where(at >= 0, self.order[at], none)
-        for row, chunk, i in zip(sym.tolist(), chunks, where.tolist()):
-            if -2 not in row:
-                out[i] = row[: row.index(-1)]
-                continue
-            ids, at = [], 0
-            for s in row[: row.index(-1)]:  # a character that is no piece is written in bytes
-                if s == -2:
-                    ids += [self.byte[b] for b in chunk[at].encode()]
-                    at += 1
-                else:
-                    ids.append(s)
-                    at += len(self.text[s])
-            out[i] = ids
-
-    def merge(self, chunk: str, dropout: float = 0.0, key: bytes = b"") -> list[int]:
-        """Ids of one chunk. Symbols are a linked list; stale agenda entries are told by their text."""
+            c = live[a]
+            at = j * n + c
+            k = after[at]
+            gone = k * n + c
+            follow = after[gone]
+            flat[at], flat[gone], after[at] = piece, -1, follow
+            before[np.minimum(follow, high - 1) * n + c] = j
+            lead = before[at]
+            agenda[k, a] = _NONE
+            right, left = flat[np.minimum(follow, high - 1) * n + c], flat[lead * n + c]
+            agenda[j, a] = self.pairs.get(piece, right) + (j << 24)
+            agenda[lead, a] = np.where(left < 0, _NONE, self.pairs.get(left, piece) + (lead << 24))
+
+    def merge(self, chunk: str, salt: int = 0, below: int = 0) -> list[int]:
+        """The same for one chunk: a list with a piece at the place of its first character, -1 at its others, -2 where a
+        character is no piece. Symbols are a linked list; a stale agenda entry is told by the borders of its two parts."""
         rank = self.rank
         parts: list[str] = list(chunk)
         n = len(parts)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(*rank[pair], i, pair) for i in range(n - 1) if (pair := parts[i] + parts[i + 1]) in rank]
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        entry = lambda pair, i, j, k: (rank[pair][0], i, rank[pair][1], j, k)  # noqa: E731  best score, then leftmost
+        agenda = [entry(pair, i, i + 1, i + 2) for i in range(n - 1) if (pair := parts[i] + parts[i + 1]) in rank]
         heapq.heapify(agenda)
-        below = int(dropout * 2**32)
-        salt = zlib.crc32(chunk.encode(), zlib.crc32(key)) if below else 0  # as in encode_batch
         step = -1
         while agenda:
-            _, piece, i, pair = heapq.heappop(agenda)
-            j = after[i]
-            if not parts[i] or j >= n or parts[i] + parts[j] != pair:
+            _, i, piece, j, k = heapq.heappop(agenda)
+            if not parts[i] or after[i] != j or after[j] != k:
                 continue
             step += 1
-            if below and (((salt ^ (step * 0x9E3779B1) ^ (piece * 0x85EBCA6B)) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF) >> 32) < below:
+            if below and (((salt ^ (step * 0x9E3779B1) ^ (piece * 0x85EBCA6B)) * 0xC2B2AE3D27D4EB4F & _M) >> 32) < below:
                 continue
-            parts[i], parts[j] = pair, ""
-            k = after[i] = after[j]
+            parts[i], parts[j] = parts[i] + parts[j], ""
+            after[i] = k
             if k < n:
                 before[k] = i
-                if (new := pair + parts[k]) in rank:
-                    heapq.heappush(agenda, (*rank[new], i, new))
+                if (new := parts[i] + parts[k]) in rank:
+                    heapq.heappush(agenda, entry(new, i, k, after[k]))
             h = before[i]
-            if h >= 0 and (new := parts[h] + pair) in rank:
-                heapq.heappush(agenda, (*rank[new], h, new))
-        out: list[int] = []
-        for part in parts:
-            if part:
-                found = rank.get(part)
-                if found:
-                    out.append(found[1])
-                else:
-                    out += [self.byte[b] for b in part.encode()]
-        return out
-
-    def chunks(self, text: str) -> list[str]:
-        """The chunks of a text. A literal U+2581 in it is its own chunk, marked by a second one, to be written in
-        bytes, so that it doesn't come back as a space."""
-        if not text:
-            return []
-        if SPACE not in text:
-            return _CHUNK.findall(SPACE + text.replace(" ", SPACE))
-        out: list[str] = []
-        for k, clean in enumerate(text.split(SPACE)):
-            if k:
-                out.append("")
-            out += _CHUNK.findall((SPACE if not k else "") + clean.replace(" ", SPACE))
-        return out
+            if h >= 0 and (new := parts[h] + parts[i]) in rank:
+                heapq.heappush(agenda, entry(new, h, i, k))
+        return [(rank[p][1] if p in rank else -2) if p else -1 for p in parts]
+
+    def encode_many(self, texts: list[str], keys: np.ndarray, dropout: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, how many each has); `keys` seed the dropout of each text."""
+        some = [i for i, t in enumerate(texts) if t]
+        counts = np.zeros(len(texts), np.int64)
+        if not some:
+            return np.zeros(0, np.int32), counts
+        code = np.frombuffer("".join([" " + texts[i] for i in some]).encode("utf-32-le"), "<u4")
+        first = np.append(0, np.cumsum([len(texts[i]) + 1 for i in some]))
+        space, mark = code == 32, code == ord(SPACE)
+        begin = space.copy()
+        begin[1:] &= ~space[:-1]
+        begin[first[:-1]] = True
+        if mark.any():  # each by itself
+            begin |= mark
+            begin[1:] |= mark[:-1]
+        start = np.flatnonzero(begin)
+        length = np.diff(np.append(start, len(code)))
+        at = np.searchsorted(start, first)
+        doc = np.repeat(np.arange(len(some)), np.diff(at))
+        place = np.arange(len(start)) - at[doc]
+        salt = mix(keys[some][doc] + place.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        below = min(int(dropout * 2**32), 1 << 32)
+        sym = self.letter[code]
+        order = np.argsort(np.minimum(length, 255).astype(np.uint8), kind="stable")
+        ends = np.searchsorted(length[order], (1, *WIDTHS), side="right")
+        for width, lo, hi in zip(WIDTHS, ends, ends[1:]):
+            for a in range(lo, hi, BLOCK):
+                which = order[a : min(a + BLOCK, hi)]
+                inside = np.arange(width)[:, None] < length[which]
+                where = np.where(inside, start[which] + np.arange(width)[:, None], 0)
+                block = np.full((width + 1, len(which)), -1, np.int32)
+                block[:-1] = np.where(inside, sym[where], -1)
+                self._merge_block(block, salt[which], _U(below))
+                sym[where[inside]] = block[:-1][inside]
+        for i in order[ends[-1] :]:
+            a, b = start[i], start[i] + length[i]
+            chunk = code[a:b].tobytes().decode("utf-32-le").replace(" ", SPACE)
+            sym[a:b] = self.merge(chunk, int(salt[i]), below)
+        return self._in_bytes(sym, code, first, counts, some)
+
+    def _in_bytes(self, sym: np.ndarray, code: np.ndarray, first: np.ndarray, counts: np.ndarray, some: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces in order, with the bytes of characters that are no piece."""
+        n = (sym != -1).astype(np.int64)
+        odd = np.flatnonzero(sym == -2)
+        if len(odd):
+            c = code[odd]
+            n[odd] = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
+        total = np.append(0, np.cumsum(n))
+        counts[some] = total[first[1:]] - total[first[:-1]]
+        if not len(odd):
+            return sym[sym != -1], counts
+        ids = np.repeat(sym, n)
+        raw = np.frombuffer(code[odd].tobytes().decode("utf-32-le").encode(), np.uint8)
+        ids[np.repeat(total[odd] - np.append(0, np.cumsum(n[odd])[:-1]), n[odd]) + np.arange(len(raw))] = self.byte[raw]
+        return ids, counts
+
+    def encode(self, text: str, dropout: float = 0.0, seed: int = 0, key: int = 0) -> list[int]:
+        return self.encode_many([text], document_keys(np.array([key]), seed), dropout)[0].tolist()
+
+    def decode_many(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The text of each run of ids: their bytes, without the space put first. Ids that spell no text are an error."""
+        n = self.size[ids]
+        total = np.append(0, np.cumsum(n))
+        data = self.spelt[np.repeat(self.begin[ids] - total[:-1], n) + np.arange(total[-1])]
+        edge = total[np.append(0, np.cumsum(counts))]
+        head = edge[:-1][edge[1:] > edge[:-1]]
+        head = head[data[head] == 32]
+        lost = np.zeros(len(data) + 1, np.int64)
+        lost[head + 1] = 1
+        keep = np.ones(len(data), bool)
+        keep[head] = False
+        offsets = (edge - np.cumsum(lost)[edge]).astype(np.int32)
+        raw = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(data[keep])])
+        return raw.cast(pa.string())
 
-    def encode_batch(self, texts: list[str], keys: list[int], dropout: float, seed: int, cache: list[dict[str, list[int]]]) -> list[list[int]]:
-        """Ids of several texts; `cache` has one dict for each variant."""
-        split = [self.chunks(t) for t in texts]
-        picks = [(mix(np.arange(len(c), dtype=np.uint64) + _U(k & 0xFFFFFFFFFFFFFFFF)) % _U(len(cache))).tolist() for c, k in zip(split, keys)]
-        parts = [[cache[v].get(c) for c, v in zip(chunks, pick)] for chunks, pick in zip(split, picks)]
-        missing: list[set[str]] = [set() for _ in cache]
-        for have, chunks, pick in zip(parts, split, picks):
-            if None in have:
-                for ids, c, v in zip(have, chunks, pick):
-                    if ids is None:
-                        missing[v].add(c)
-        fresh: list[dict[str, list[int]]] = []
-        for v, want in enumerate(missing):
-            key = zlib.crc32(b"%d:%d" % (seed, v))
-            short = [c for c in want if 0 < len(c) <= 32]
-            found = dict(zip(short, self.merge_many(short, dropout, [zlib.crc32(c.encode(), key) for c in short])))
-            for c in want:
-                if len(c) > 32:
-                    found[c] = self.merge(c, dropout, b"%d:%d" % (seed, v))
-            found[""] = [self.byte[b] for b in SPACE.encode()]
-            fresh.append(found)
-        out = []
-        for have, chunks, pick in zip(parts, split, picks):
-            if None in have:
-                have = [fresh[v][c] if ids is None else ids for ids, c, v in zip(have, chunks, pick)]
-            out.append(list(itertools.chain.from_iterable(have)))
-        for v, found in enumerate(fresh):
-            if len(cache[v]) + len(found) > 80_000:
-                cache[v].clear()
-            if len(found) < 80_000:
-                cache[v].update((c, i) for c, i in found.items() if len(c) <= 64)
-        return out
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_many(np.array(ids, np.int64), np.array([len(ids)]))[0].as_py()
 
-    def encode(self, text: str, dropout: float = 0.0, seed: int = 0, key: int = 0, variants: int = 1) -> list[int]:
-        return self.encode_batch([text], [key], dropout, seed, [{} for _ in range(variants)])[0]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of an encoding: byte pieces give bytes, others their text, and the space put first goes."""
-        plain, bytes_of = self.plain, self.bytes_of
-        if bytes_of.keys().isdisjoint(ids):
-            return "".join([plain[i] for i in ids])[1:]
-        out, run = [], bytearray()
-        for i in ids:
-            b = bytes_of.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode())
-                run.clear()
-            out.append(plain[i])
-        out.append(run.decode())
-        return "".join(out)[1:]
+def document_keys(doc_ids: np.ndarray, seed: int) -> np.ndarray:
+    return mix(mix(doc_ids.astype(np.int64).view(np.uint64)) + _U(seed & _M))
 
 
 _loaded: dict[str, Pieces] = {}
@@ -259,7 +279,7 @@ def _pieces(path: str | None) -> Pieces:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed: int = 0, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """doc_id and ids of each whole text.
 
     A null or empty text has no ids. The segmentation depends on doc_id, so copies of a text vary and repeated rows are
@@ -268,13 +288,11 @@ def encode(docs: DataFrame, model: str | None = None, dropout: float = 0.1, seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
-        cache: list[dict[str, list[int]]] = [{} for _ in range(variants if dropout else 1)]
         for batch in batches:
             for part in slices(batch, "text"):
-                keys = mix(np.array([-1 if d is None else d for d in part.column(0).to_pylist()], np.int64).astype(np.uint64) + _U(seed)).tolist()
-                ids = pieces.encode_batch([t or "" for t in part.column(1).to_pylist()], keys, dropout, seed, cache)
-                flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, sum(map(len, ids)))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(i) for i in ids])).astype(np.int32)), pa.array(flat))
+                keys = document_keys(part.column(0).fill_null(-1).to_numpy(), seed)
+                ids, counts = pieces.encode_many([t or "" for t in part.column(1).to_pylist()], keys, dropout)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -286,8 +304,15 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
         for batch in batches:
-            text = [pieces.decode(ids.as_py() or []) for ids in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], ["doc_id", "ids", "text"])
+            at = 0
+            while at < batch.num_rows:  # about a million ids at a time
+                part = batch.slice(at)
+                n = np.cumsum(part.column(1).value_lengths().fill_null(0).to_numpy())
+                part = part.slice(0, max(1, int(np.searchsorted(n, 1 << 20, side="right"))))
+                at += part.num_rows
+                ids = part.column(1)
+                counts = ids.value_lengths().fill_null(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([*part.columns, pieces.decode_many(ids.flatten().to_numpy(zero_copy_only=False), counts)], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 

@@ -82,3 +82,34 @@ def slug(text: Column, words: int = 8) -> Column:
 def terms_of(text: Column) -> Column:
     """All letter runs of the lower-cased text, for postings."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
+
+
+def collapsed(text: Column) -> Column:
+    """How values are compared: white space collapsed, trimmed, lower case."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
+def sentences(text: Column) -> Column:
+    """Sentences of two characters or more, trimmed, in order: they end at line feeds, and at . ! ? before a space, a quote
+    or the end."""
+    marked = F.regexp_replace(text, "([.!?])([ \"'])", "$1\n$2")
+    return F.filter(F.transform(F.split(marked, "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.length(x) >= 2)
+
+
+def sentences_sql(text: str) -> str:
+    return f"list_filter(list_transform(string_split(regexp_replace({text}, '([.!?])([ \"''])', '\\1' || chr(10) || '\\2', 'g'), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 2)"
+
+
+def slug_sql(text: str, words: int = 8) -> str:
+    stop = ", ".join(f"'{w}'" for w in SLUG_STOP)
+    joined = f"array_to_string(list_slice(list_filter(regexp_split_to_array(regexp_replace(lower({text}), '[^a-z0-9\\s-]', ' ', 'g'), '[\\s-]+'), lambda w: w <> '' AND w NOT IN ({stop})), 1, {words}), '-')"
+    return f"(CASE WHEN length({joined}) > 60 THEN regexp_replace(left({joined}, 60), '-+$', '') ELSE {joined} END)"
+
+
+# Cues of a sentence that is worth keeping word for word.
+SALIENT = ["remember", "from now on", "always", "never", "we decided", "we agreed", "let's go with", "lets go with", "going with", "decision", "rule:", "i will", "i'll", "ill", "todo", "remind me", "actually", "correction", "must", "should never", "deadline", "due"]
+SALIENT_PATTERN = "(?:^|[^a-z0-9_])(?:" + "|".join(w for w in SALIENT if w[-1] != ":") + ")(?:[^a-z0-9_]|$)|(?:^|[^a-z0-9_])rule:[a-z0-9_]"
+
+
+def salient(sentence: Column) -> Column:
+    return F.lower(sentence).rlike(SALIENT_PATTERN)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,15 +35,34 @@ def record(seq: Column, role: Column, content: Column) -> Column:
 
 
 def chained(episodes: DataFrame) -> DataFrame:
-    """Episodes with prev_hash and hash. hash_i = sha256(hash_(i-1) || record_i), so a thread is folded in order; the
-    fold keeps only record digests of one thread in memory, never contents."""
+    """Episodes with prev_hash and hash. hash_i = sha256(hash_(i-1) || record_i) is sequential within a thread, so threads
+    are brought together and sorted by Spark and read as a stream that carries one hash: linear in a thread's length, with
+    no thread in memory."""
     rec = episodes.select("thread_id", "seq", record(F.col("seq"), F.col("role"), F.col("content")).alias("record"))
-    rows = F.array_sort(F.collect_list(F.struct("seq", "record")))
-    start = F.array(F.sha2(F.concat(F.lit(GENESIS), F.col("thread_id").cast("string")), 256))
-    threads = rec.groupBy("thread_id").agg(rows.alias("rows"))
-    fold = threads.select("thread_id", "rows", F.aggregate("rows", start, lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), x["record"]), 256)))).alias("hashes"))
-    each = fold.select("thread_id", F.posexplode("rows").alias("i", "row"), "hashes")
-    return each.select("thread_id", F.col("row.seq").alias("seq"), F.col("row.record").alias("record"), F.get("hashes", F.col("i")).alias("prev_hash"), F.get("hashes", F.col("i") + 1).alias("hash"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        thread, last = None, ""
+        for batch in batches:
+            before, after = [], []
+            for t, r in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if t != thread or not last:
+                    thread, last = t, hashlib.sha256(f"{GENESIS}{t}".encode()).hexdigest()
+                before.append(last)
+                last = hashlib.sha256((last + r).encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], [*batch.schema.names, "prev_hash", "hash"])
+
+    return rec.repartition("thread_id").sortWithinPartitions("thread_id", "seq").mapInArrow(run, "thread_id long, seq long, record string, prev_hash string, hash string")
+
+
+def appended(episodes: DataFrame, heads: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Rows (thread_id, ts, role, content) to append: numbered behind their thread's head (thread_id, head_seq), those that
+    the archive already has (same thread, ts, role and content) left out, so that appending twice adds nothing."""
+    there = episodes.select("thread_id", "ts", "role", F.sha2("content", 256).alias("h"))
+    new = incoming.withColumn("h", F.sha2("content", 256)).join(there, ["thread_id", "ts", "role", "h"], "left_anti")
+    order = Window.partitionBy("thread_id").orderBy("ts", "role", "h")
+    rows = new.dropDuplicates(["thread_id", "ts", "role", "h"]).withColumn("_r", F.row_number().over(order))
+    return rows.join(heads, "thread_id", "left").select("thread_id", (F.coalesce("head_seq", F.lit(0)) + F.col("_r")).alias("seq"), "ts", "role", "content")
 
 
 def verify_chain(chain: DataFrame) -> DataFrame:
@@ -103,6 +126,16 @@ def nearest_speaker(episodes: DataFrame, wanted: str, within: int) -> DataFrame:
     return episodes.select("thread_id", "seq", F.when(F.col("seq") - near <= within, near).alias("speaker_seq"))
 
 
+def nearest_in_direction(episodes: DataFrame, wanted: str, within: int, forward: bool) -> DataFrame:
+    """The nearest episode of the wanted role in one direction, at most `within` away. Removed episodes are stepped over; a
+    missing number ends the walk: runs of consecutive numbers are islands, and the walk stays in its own."""
+    base = Window.partitionBy("thread_id").orderBy("seq")
+    island = episodes.withColumn("island", F.col("seq") - F.row_number().over(base))
+    order = Window.partitionBy("thread_id", "island").orderBy(F.desc("seq") if forward else F.col("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    near = F.last(F.when((F.col("role") == wanted) & ~F.col("removed"), F.col("seq")), ignorenulls=True).over(order)
+    return island.select("thread_id", "seq", F.when(F.abs(F.col("seq") - near) <= within, near).alias("near_seq"))
+
+
 def first_seen(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(order).alias(f"first_{order}"), F.count("*").alias("n"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,15 +77,41 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def nearest(vectors: DataFrame, every: int, n: int) -> DataFrame:
-    """For each vector whose id is divisible by `every`, the n others with the largest cosine. The query set meets all
-    rows in blocks: rows are dealt by their id, each block meets all queries, and only its best n go on."""
-    unit = vectors.select("vec_id", "embedding", F.sqrt(dot("embedding", "embedding")).alias("norm")).where("norm > 0")
-    asked = unit.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))
-    pairs = unit.join(asked, F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(dot("embedding", "q") / (F.col("norm") * F.col("q_norm")), 6).alias("cosine"), F.pmod(F.col("vec_id"), F.lit(16)).alias("_block"))
-    best = lambda rows, *by: rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("cosine"), "vec_id"))).where(F.col("_r") <= n)
-    return best(best(scored, "query_id", "_block").drop("_r"), "query_id").select("query_id", F.col("_r").cast("long").alias("rank"), "vec_id", "cosine")
+def _packed(vectors: DataFrame, total: int, size: int) -> DataFrame:
+    """Rows of about `size` vectors each, dealt by hash."""
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-total // size))))
+    return vectors.groupBy(part.alias("part")).agg(F.collect_list(F.struct("vec_id", "x")).alias("rows")).select("rows")
+
+
+def nearest(vectors: DataFrame, every: int, n: int, batch: int = 256, block: int = 4096) -> DataFrame:
+    """For each vector whose id is divisible by `every`, the n others with the largest cosine: a stated query set against
+    all rows, in blocks. Queries are packed by `batch`, vectors by `block`; each batch meets each block in one matrix
+    product, which puts out its best n for each query, and those are ranked once more."""
+    fine = F.col("embedding").isNotNull() & F.exists("embedding", lambda v: v != 0)
+    unit = vectors.where(fine).select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    total = unit.count()
+    asked = _packed(unit.where(F.col("vec_id") % every == 0), max(1, total // every), batch).withColumnRenamed("rows", "queries")
+    pairs = _packed(unit, total, block).crossJoin(asked)
+
+    def matrix(rows: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
+        ids, x = rows.values.field(0).to_numpy(), rows.values.field(1)
+        m = x.flatten().to_numpy().reshape(len(ids), -1)
+        return ids, m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for have, want in zip(rows.column(0), rows.column(1)):
+                (ids, x), (q_ids, q) = matrix(have), matrix(want)
+                cosine = np.round(q @ x.T, 6)
+                cosine[q_ids[:, None] == ids[None, :]] = -2.0
+                order = np.lexsort((np.broadcast_to(ids, cosine.shape), -cosine), axis=1)[:, :n]
+                found = np.take_along_axis(cosine, order, axis=1)
+                keep = found.ravel() > -2.0
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, order.shape[1])[keep]), pa.array(ids[order].ravel()[keep]), pa.array(found.ravel()[keep])], ["query_id", "vec_id", "cosine"])
+
+    best = pairs.mapInArrow(run, "query_id long, vec_id long, cosine double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n).select("query_id", "rank", "vec_id", "cosine")
 
 
 def agreed_phase(spans: DataFrame) -> DataFrame:
@@ -89,10 +119,12 @@ def agreed_phase(spans: DataFrame) -> DataFrame:
     return spans.groupBy("thread_id", "span").agg(F.when(F.countDistinct("phase") == 1, F.first("phase")).otherwise("unresolved").alias("phase"), F.count("*").alias("facts"))
 
 
-def nearest_rank(rows: DataFrame, value: str, shares: list[float], *keys: str) -> DataFrame:
-    """Percentiles by nearest rank (ceiling): the value at place ceil(share * n)."""
+def nearest_rank(rows: DataFrame, value: str, shares: list[float], *keys: str, middle: str = "ceil") -> DataFrame:
+    """Percentiles by nearest rank: the value at place ceil(share * n), or at round(share * (n - 1)) counted from 0. Equal
+    values are counted first, so that what is sorted is the distinct values of a group, not its rows."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
     order = Window.partitionBy(*keys).orderBy(value)
-    size = F.count("*").over(Window.partitionBy(*keys))
-    placed = rows.select(*keys, value, F.row_number().over(order).alias("_r"), size.alias("_n"))
-    aggs = [F.max(F.when(F.col("_r") == F.ceil(F.lit(s) * F.col("_n")), F.col(value))).alias(f"p{round(s * 100)}") for s in shares]
+    placed = counts.withColumn("_to", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    place = lambda s: F.ceil(F.lit(s) * F.col("_n")) if middle == "ceil" else F.floor(F.lit(s) * (F.col("_n") - 1) + 0.5) + 1
+    aggs = [F.min(F.when(F.col("_to") >= place(s), F.col(value))).alias(f"p{round(s * 100)}") for s in shares]
     return placed.groupBy(*keys).agg(*aggs, F.max(value).alias("max"), F.max("_n").cast("long").alias("n"))

@@ -10,10 +10,20 @@ from ..functions.text import search_terms, terms_of
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, *keys: str) -> DataFrame:
-    """(keys, term, tf, dl): one row per distinct term of each text."""
-    rows = docs.select(*keys, terms_of(F.col("content")).alias("t")).withColumn("dl", F.size("t").cast("long"))
-    return rows.select(*keys, "dl", F.explode("t").alias("term")).groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, *keys: str, only: DataFrame | None = None) -> DataFrame:
+    """(keys, dl, term, tf): one row per distinct term of each text. With `only` (term), a set of query terms that the
+    planner may broadcast, words are cut to these before anything is aggregated or moved."""
+    rows = docs.select(*keys, terms_of(F.col("content")).alias("t"))
+    each = rows.select(*keys, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    if only is not None:
+        each = each.join(only.select("term").distinct(), "term", "left_semi")
+    return each.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def corpus_size(docs: DataFrame) -> DataFrame:
+    """One row: how many texts have terms, and their mean length. Lengths need no explode."""
+    n = F.size(terms_of(F.col("content")))
+    return docs.select(n.alias("dl")).where("dl > 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
 def query_terms(asked: DataFrame, most: int = 6) -> DataFrame:
@@ -21,16 +31,18 @@ def query_terms(asked: DataFrame, most: int = 6) -> DataFrame:
     return asked.select("query_id", F.explode(search_terms(F.col("text"), most)).alias("term"))
 
 
-def bm25(posted: DataFrame, terms: DataFrame, key: str, n: int) -> DataFrame:
-    """The n best texts of each query. Postings are cut to the asked terms before anything else is computed; the
-    corpus sums are one small row."""
-    size = posted.select(key, "dl").distinct().agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    wanted = posted.join(terms.select("term").distinct(), "term")
+def bm25(docs: DataFrame, terms: DataFrame, key: str, n: int, exclude: DataFrame | None = None) -> DataFrame:
+    """The n best texts of each query; ties go to the smaller key. Texts in `exclude` (query_id, key) are no answers but
+    count in the corpus. The corpus sums are one small row."""
+    size = corpus_size(docs)
+    wanted = postings(docs, key, only=terms)
     spread = wanted.groupBy("term").agg(F.count("*").alias("df"))
     scored = wanted.join(spread, "term").crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     totals = terms.join(scored.select("term", key, weight.alias("w")), "term").groupBy("query_id", key).agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("matched"))
+    if exclude is not None:
+        totals = totals.join(exclude, ["query_id", key], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return totals.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
 

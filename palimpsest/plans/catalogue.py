@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NAMES_SQL, SEARCH_STOP, approx_tokens, authority, coverage_status, episode_names, slug
-from ..functions.text import code_names, date_names
+from ..functions import names
+from ..functions.text import SALIENT_PATTERN, code_names, date_names, salient
 from ..operators import archive, budget, evidence, facts, ledger, router, search
-from ..sources.episodes import CONV_SQL, EV_SQL, ORD_SQL, conversation_episodes, event_episodes, order_episodes, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from ..sources.episodes import CONV_SQL, EV_SQL, LINE_SQL, ORD_SQL, conversation_episodes, event_episodes, line_episodes, order_episodes, table
+from .registry import QUERIES, SQL, TOKENS, query, two_lane_sql
 
-TOKENS = "CAST(ceil(length(content) / 3.6e0 * 1.1e0) AS BIGINT)"
 SPAN = 8  # episodes a leaf: users have about 67 events at the smallest scales
 
 # ---- archive ------------------------------------------------------------------------------------------------
@@ -90,17 +75,18 @@ def leaf_windows(spark, d):
     return archive.windows(event_episodes(spark, d), SPAN)
 
 
-HIERARCHY_SQL = f"""WITH {EV_SQL}, cap AS ({' UNION ALL '.join(f"SELECT {k} AS level, thread_id, (seq - 1) // {SPAN * 2**k} AS no, min(seq) AS from_seq, max(seq) AS to_seq, count(*) AS episodes, CAST(sum({TOKENS}) AS BIGINT) AS tokens FROM ev GROUP BY 2, 3 HAVING count(*) = {SPAN * 2**k}" for k in range(3))})"""
+LEAF, FAN, LEVELS = 32, 8, 8
+HIERARCHY_SQL = f"""WITH {LINE_SQL}, cap AS ({' UNION ALL '.join(f"SELECT {k} AS level, thread_id, (seq - 1) // {LEAF * FAN**k} AS no, min(seq) AS from_seq, max(seq) AS to_seq, count(*) AS episodes, CAST(sum({TOKENS}) AS BIGINT) AS tokens FROM line GROUP BY 2, 3 HAVING count(*) = {LEAF * FAN**k}" for k in range(LEVELS))})"""
 
 
 @query(HIERARCHY_SQL + " SELECT * FROM cap")
 def capsule_hierarchy(spark, d):
-    return archive.hierarchy(event_episodes(spark, d), SPAN, 2, 3)
+    return archive.hierarchy(line_episodes(spark, d), LEAF, FAN, LEVELS)
 
 
 @query(HIERARCHY_SQL + " SELECT p.thread_id, p.level, p.no, p.from_seq AS parent_from, p.to_seq AS parent_to, c.from_seq AS child_from, c.to_seq AS child_to FROM cap p JOIN cap c ON c.thread_id = p.thread_id AND c.level = p.level - 1 AND c.from_seq >= p.from_seq AND c.to_seq <= p.to_seq")
 def capsule_children(spark, d):
-    return archive.children(archive.hierarchy(event_episodes(spark, d), SPAN, 2, 3), 2)
+    return archive.children(archive.hierarchy(line_episodes(spark, d), LEAF, FAN, LEVELS), FAN)
 
 
 @query(f"WITH {EV_SQL} SELECT a.thread_id, a.seq, max(b.seq) AS speaker_seq FROM ev a LEFT JOIN ev b ON b.thread_id = a.thread_id AND b.role = 'user' AND b.seq < a.seq AND b.seq >= a.seq - 12 GROUP BY 1, 2")
@@ -241,27 +227,14 @@ def historical_pairs(spark, d):
     return facts.with_previous(_facts(spark, d))
 
 
-@query(FACTS_SQL + ", asked AS (SELECT DISTINCT user_id AS thread_id, 'user.error' AS key FROM events) SELECT thread_id, key, rank, value, valid_from FROM (SELECT fact.*, row_number() OVER (PARTITION BY thread_id, key ORDER BY valid_to IS NOT NULL, valid_from DESC) AS rank FROM fact JOIN asked USING (thread_id, key)) WHERE rank <= 8")
+@query(FACTS_SQL + ", asked AS (SELECT DISTINCT user_id AS thread_id, 'user.' || event_type AS key FROM events) SELECT thread_id, key, rank, value, valid_from FROM (SELECT fact.*, row_number() OVER (PARTITION BY thread_id, key ORDER BY valid_to IS NOT NULL, valid_from DESC) AS rank FROM fact JOIN asked USING (thread_id, key)) WHERE rank <= 8")
 def atoms_by_name(spark, d):
-    asked = table(spark, d, "events").select(F.col("user_id").alias("thread_id")).distinct().withColumn("key", F.lit("user.error"))
+    asked = table(spark, d, "events").select(F.col("user_id").alias("thread_id"), F.concat(F.lit("user."), "event_type").alias("key")).distinct()
     return facts.by_name(_facts(spark, d), asked, 8)
 
 
-@query(f"""WITH RECURSIVE {EV_SQL}, st AS (SELECT thread_id, 'user.' || event_type AS key, seq, CAST(CAST(floor(value / 100) AS BIGINT) AS VARCHAR) AS value,
-  CASE WHEN event_id % 3 = 0 THEN 'assistant' ELSE 'user' END AS authority, row_number() OVER (PARTITION BY thread_id, event_type ORDER BY seq) AS i FROM ev),
-fold AS (SELECT thread_id, key, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS authority, false AS made, CAST(NULL AS VARCHAR) AS sup, CAST(NULL AS VARCHAR) AS prop, CAST(NULL AS BIGINT) AS sup_seq, CAST(NULL AS BIGINT) AS prop_seq, CAST(NULL AS BIGINT) AS closed_sup, CAST(NULL AS BIGINT) AS closed_prop FROM (SELECT DISTINCT thread_id, key FROM st)
-  UNION ALL SELECT f.thread_id, f.key, s.i, s.seq, s.value, s.authority,
-    NOT (coalesce(f.sup = s.value, false) OR (s.authority <> 'user' AND coalesce(f.prop = s.value, false))),
-    CASE WHEN coalesce(f.sup = s.value, false) OR s.authority <> 'user' THEN f.sup ELSE s.value END,
-    CASE WHEN coalesce(f.sup = s.value, false) THEN f.prop WHEN s.authority = 'user' THEN NULL ELSE s.value END,
-    CASE WHEN coalesce(f.sup = s.value, false) OR s.authority <> 'user' THEN f.sup_seq ELSE s.seq END,
-    CASE WHEN coalesce(f.sup = s.value, false) OR (s.authority <> 'user' AND coalesce(f.prop = s.value, false)) THEN f.prop_seq WHEN s.authority = 'user' THEN NULL ELSE s.seq END,
-    CASE WHEN NOT coalesce(f.sup = s.value, false) AND s.authority = 'user' THEN f.sup_seq END,
-    CASE WHEN NOT (coalesce(f.sup = s.value, false) OR (s.authority <> 'user' AND coalesce(f.prop = s.value, false))) THEN f.prop_seq END
-  FROM fold f JOIN st s ON s.thread_id = f.thread_id AND s.key = f.key AND s.i = f.i + 1),
-closed AS (SELECT thread_id, key, closed_sup AS at, seq FROM fold WHERE closed_sup IS NOT NULL UNION ALL SELECT thread_id, key, closed_prop, seq FROM fold WHERE closed_prop IS NOT NULL)
-SELECT f.thread_id, f.key, f.value, f.authority, CASE WHEN c.seq IS NOT NULL THEN 'HISTORICAL' WHEN f.authority = 'user' THEN 'SUPPORTED' ELSE 'PROPOSED' END AS phase, f.seq AS valid_from, c.seq AS valid_to
-FROM fold f LEFT JOIN closed c ON c.thread_id = f.thread_id AND c.key = f.key AND c.at = f.seq WHERE f.made""")
+@query(f"""WITH RECURSIVE {EV_SQL}, said AS (SELECT thread_id, 'user.' || event_type AS key, seq, CAST(CAST(floor(value / 100) AS BIGINT) AS VARCHAR) AS value, CASE WHEN event_id % 3 = 0 THEN 'assistant' ELSE 'user' END AS authority FROM ev),
+{two_lane_sql('said')} SELECT * FROM fact""")
 def authority_two_lane(spark, d):
     e = event_episodes(spark, d)
     by = F.when(F.col("event_id") % 3 == 0, "assistant").otherwise("user")
@@ -304,8 +277,12 @@ one AS (SELECT query_id, term, min(i) AS i FROM word WHERE length(term) >= 3 AND
 terms AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS r FROM one) WHERE r <= 6)"""
 
 
-def _posted(spark, d):
-    return search.postings(table(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+def _docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+
+
+def _posted(spark, d, only=None):
+    return search.postings(_docs(spark, d), "doc_id", only=only)
 
 
 def _terms(spark, d):
@@ -326,19 +303,21 @@ def lexical_postings(spark, d):
 s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / a))), 6) AS score, count(*) AS matched FROM terms JOIN post USING (term) JOIN df USING (term), size GROUP BY 1, 2)
 SELECT query_id, doc_id, score, matched, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def bm25_topk(spark, d):
-    return search.bm25(_posted(spark, d), _terms(spark, d), "doc_id", 10)
+    return search.bm25(_docs(spark, d), _terms(spark, d), "doc_id", 10)
 
 
 @query(f"WITH {POST_SQL}, need AS (SELECT query_id, count(*) AS n FROM terms GROUP BY 1) SELECT query_id, doc_id FROM (SELECT query_id, doc_id, count(*) AS have FROM terms JOIN post USING (term) GROUP BY 1, 2) JOIN need USING (query_id) WHERE have = n")
 def search_strict_and(spark, d):
-    return search.all_terms(_posted(spark, d), _terms(spark, d), "doc_id")
+    terms = _terms(spark, d)
+    return search.all_terms(_posted(spark, d, terms), terms, "doc_id")
 
 
 @query(f"""WITH {POST_SQL}, need AS (SELECT query_id, count(*) AS n FROM terms GROUP BY 1), found AS (SELECT query_id, doc_id FROM (SELECT query_id, doc_id, count(*) AS have FROM terms JOIN post USING (term) GROUP BY 1, 2) JOIN need USING (query_id) WHERE have = n),
 long AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, term) AS r FROM terms WHERE length(term) >= 5) WHERE r <= 3)
 SELECT DISTINCT query_id, doc_id FROM long JOIN post USING (term) WHERE query_id NOT IN (SELECT query_id FROM found)""")
 def search_or_fallback(spark, d):
-    posted, terms = _posted(spark, d), _terms(spark, d)
+    terms = _terms(spark, d)
+    posted = _posted(spark, d, terms)
     return search.any_long_term(posted, terms, "doc_id", search.all_terms(posted, terms, "doc_id"))
 
 
@@ -355,14 +334,6 @@ def routes_effective(spark, d):
     return search.effective(*_routes(spark, d))
 
 
-@query(ROUTES_SQL + ", w AS (SELECT *, seq AS w1, seq - 3 AS w2 FROM route) SELECT route_id, thread_id FROM w WHERE w1 % 10 = 0 OR w2 % 10 = 0")
-def routes_closed_by_removal(spark, d):
-    """Routes with a removed episode (every tenth) among their witnesses."""
-    edges, _ = _routes(spark, d)
-    witnesses = F.array("seq", F.col("seq") - 3)
-    return edges.where(F.exists(witnesses, lambda s: s % 10 == 0)).select("route_id", "thread_id")
-
-
 # ---- budgets -------------------------------------------------------------------------------------------------
 
 
@@ -474,12 +445,6 @@ def attachment_spans(spark, d):
     return _spans(spark, d)
 
 
-@query(SPANS_SQL + ", p AS (SELECT page_id, ordinal, ordinal * 1024 AS from_byte, lag(least(ordinal * 1024 + 1024, size), 1, 0) OVER (PARTITION BY page_id ORDER BY ordinal) AS expected FROM s) SELECT page_id, ordinal, from_byte, expected FROM p WHERE from_byte <> expected")
-def attachment_partition_check(spark, d):
-    """Spans that leave a gap or overlap: none."""
-    return evidence.partition_gaps(_spans(spark, d), "page_id")
-
-
 @query("SELECT sha256(text) AS hash, octet_length(encode(text)) AS size, count(*) AS refs, min(doc_id) AS first_ref FROM documents GROUP BY 1, 2")
 def blob_references(spark, d):
     return evidence.blobs(table(spark, d, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
@@ -519,36 +484,17 @@ def routing_precision(spark, d):
     return e.groupBy("event_type").agg(F.round(F.avg(F.when(F.col("role") == "user", 1.0).otherwise(0.0)), 6).alias("rate"), F.count_if(F.col("value") > 100).alias("served"), F.count_if((F.col("value") > 100) & (F.col("role") == "user")).alias("needed"))
 
 
-@query("SELECT source, count(*) AS labelled, count(*) FILTER (quality = 1 AND toxic = 0) AS clean, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (quality = 0) AS poor FROM documents JOIN labels USING (doc_id) GROUP BY 1")
-def label_confusion(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id")
-    return rows.groupBy("source").agg(F.count("*").alias("labelled"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("quality") == 0).alias("poor"))
-
-
-@query("SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 3")
-def import_duplicate_slots(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n")).where("n > 3")
-
-
-@query("SELECT o_orderkey, o_custkey FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_nationkey < 20 WHERE c.c_custkey IS NULL")
-def import_orphans(spark, d):
-    """Rows whose parent is missing (here: among customers of some nations)."""
-    parents = table(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, d, "orders").join(parents, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
-
-
-@query("""SELECT item_id, CAST(regexp_matches(lower(text), '(^|[^a-z0-9_])(remember|always|never|must|deadline|due|todo|decision)([^a-z0-9_]|$)') AS BOOLEAN) AS salient, text LIKE '%?%' AS asks FROM benchmark""")
+@query(f"""SELECT item_id, regexp_matches(lower(text), '{SALIENT_PATTERN.replace("'", "''")}') AS salient, text LIKE '%?%' AS asks FROM benchmark""")
 def salient_cues(spark, d):
-    cue = F.lower("text").rlike(r"(^|[^a-z0-9_])(remember|always|never|must|deadline|due|todo|decision)([^a-z0-9_]|$)")
-    return table(spark, d, "benchmark").select("item_id", cue.alias("salient"), F.contains("text", F.lit("?")).alias("asks"))
+    return table(spark, d, "benchmark").select("item_id", salient(F.col("text")).alias("salient"), F.contains("text", F.lit("?")).alias("asks"))
 
 
-@query(f"WITH {CONV_SQL}, l AS (SELECT thread_id, seq, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM conv), k AS (SELECT thread_id, line, min(seq * 100000 + i) AS o FROM l GROUP BY 1, 2) SELECT thread_id, string_agg(left(line, 16), '|' ORDER BY o) AS lines, count(*) AS n FROM k GROUP BY 1")
+@query(f"WITH {CONV_SQL}, l AS (SELECT thread_id, seq, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS i FROM conv), r AS (SELECT *, row_number() OVER (PARTITION BY thread_id, line ORDER BY seq, i) AS r, count(*) OVER (PARTITION BY thread_id, line) AS n FROM l) SELECT thread_id, line, seq, i, n FROM r WHERE r = 1")
 def distinct_lines(spark, d):
-    """The lines of a thread, each at its first sight, in order."""
+    """The lines of a thread, each whole, with its first place and how often it occurs."""
     rows = conversation_episodes(spark, d).select("thread_id", "seq", F.posexplode(F.split("content", "\n", -1)).alias("i", "line"))
-    first = rows.groupBy("thread_id", "line").agg(F.min(F.col("seq") * 100000 + F.col("i") + 1).alias("o"))
-    return first.groupBy("thread_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", F.left("line", F.lit(16)).alias("l")))), lambda x: x["l"]), "|").alias("lines"), F.count("*").alias("n"))
+    first = rows.groupBy("thread_id", "line").agg(F.min(F.struct("seq", "i")).alias("at"), F.count("*").alias("n"))
+    return first.select("thread_id", "line", F.col("at.seq").alias("seq"), F.col("at.i").cast("long").alias("i"), "n")
 
 
 # ---- routes --------------------------------------------------------------------------------------------------
@@ -588,11 +534,19 @@ def route_cascade(spark, d):
     return router.cascade(position.unionByName(lost).unionByName(words), episodes, 6, 90)
 
 
-@query()
+@query(f"WITH {names.places_sql('pages', 'page_id', 'html')} SELECT page_id, name, kind, start FROM place")
 def page_names(spark, d):
-    """Names of all kinds in web pages, per page and kind (the lexer's claimed ranges have no SQL; see its tests)."""
-    from ..functions.names import name_rows
+    """Every name of every kind in web pages, with its place."""
+    return names.name_places(table(spark, d, "pages"), ["page_id"], "html")
+
+
+@query(f"""WITH {names.places_sql('documents', 'doc_id', 'text')}, f AS (SELECT doc_id, name, min(start) AS start, arg_min(kind, start) AS kind FROM place GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE kind WHEN 'quote' THEN 1 WHEN 'number' THEN 2 WHEN 'code' THEN 3 WHEN 'date' THEN 4 ELSE 5 END, start) AS r FROM f) SELECT doc_id, name, kind, start FROM r WHERE r <= 16""")
+def document_names_capped(spark, d):
+    """Each distinct name of a document at its first place; of more than 16, the most decisive kinds."""
+    return names.name_rows(table(spark, d, "documents"), ["doc_id"], "text", 16)
+
+
+from . import capsules, extraction, receipts, retrieval  # noqa: E402, F401  they register their queries
 
-    pages = table(spark, d, "pages").select(F.col("page_id").alias("thread_id"), F.lit(1).cast("long").alias("seq"), F.col("html").alias("content"))
-    rows = name_rows(pages)
-    return rows.groupBy(F.col("thread_id").alias("page_id"), "kind").agg(F.count("*").alias("names"), F.min("start").alias("first_start"))
+__all__ = ["QUERIES", "SQL", "SPAN"]

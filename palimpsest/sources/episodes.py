@@ -39,6 +39,64 @@ def order_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(o.select(F.col("o_custkey").alias("thread_id"), "o_orderdate", "o_orderkey", F.lit("user").alias("role"), content.alias("content")), "o_orderdate", "o_orderkey")
 
 
+def line_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long thread per supplier: an episode for each order line."""
+    rows = table(spark, sf_dir, "lineitem")
+    content = F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" x"), F.floor("l_quantity").cast("string"), F.lit(" "), F.col("l_returnflag"))
+    return numbered(rows.select(F.col("l_suppkey").alias("thread_id"), "l_orderkey", "l_linenumber", F.lit("tool").alias("role"), content.alias("content")), "l_orderkey", "l_linenumber", "content")
+
+
+# What people say in a thread: one sentence or two for each event, so that all rules, cues and kinds of names occur.
+PEOPLE = ("Ada Lovelace", "Bruno Katz", "Ines de Castro", "Omar Haddad", "Vera Lind")
+CITIES = ("Lisbon", "Port Louis", "Graz", "Bank of Sava")
+THEMES = ("alpha", "beta", "gamma")
+SAYINGS = (
+    "My name is {p}.",
+    "I live in {c}. Remember that the {w} budget is {v} usd.",
+    "From now on, use tabs for build-{a}.",
+    "Never deploy on day {a}.",
+    "We decided to ship version {b}.",
+    "TODO: call {p} about invoice {v}.",
+    "{p} moved to {c}.",
+    "{p} works at {c} Labs.",
+    "{p} was born in {c}.",
+    "The deploy window is now {b}:30.",
+    "Actually, the deploy window is {b}:45.",
+    "It is not {b}:30, but {a}:15.",
+    "What did {p} say about invoice {v}? I forgot.",
+    "As I said in turn {a}, compare all {w} budgets.",
+    'The {w} report was "large but not very stable" on 2024-03-1{a}, see src/{w}.py.',
+    "One ground rule: never send {w} mail",
+)
+
+
+def talk_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(thread_id, seq, ts, event_id, role, removed, content): one thread per user; every tenth event is removed later."""
+    e = table(spark, sf_dir, "events")
+    pick = lambda words, n: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(n, F.lit(len(words))) + 1).cast("int"))
+    i = F.col("event_id")
+    text = pick(SAYINGS, i)
+    fill = {"p": pick(PEOPLE, F.floor(i / 16)), "c": pick(CITIES, F.floor(i / 16)), "w": pick(THEMES, i), "v": F.floor("value").cast("long").cast("string"), "a": F.pmod(F.floor(i / 16), F.lit(9)).cast("string"), "b": F.pmod(F.floor(i / 16), F.lit(5)).cast("string")}
+    for k, v in fill.items():
+        text = F.replace(text, F.lit("{" + k + "}"), v)
+    role = F.when(i % 7 < 4, "user").when(i % 7 < 6, "assistant").otherwise("tool")
+    rows = e.select(F.col("user_id").alias("thread_id"), "ts", "event_id", role.alias("role"), (i % 10 == 0).alias("removed"), text.alias("content"))
+    return numbered(rows, "ts", "event_id")
+
+
+LINE_SQL = """line AS (SELECT l_suppkey AS thread_id, 'tool' AS role, 'part ' || CAST(l_partkey AS VARCHAR) || ' x' || CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR) || ' ' || l_returnflag AS content,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, 'part ' || CAST(l_partkey AS VARCHAR) || ' x' || CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR) || ' ' || l_returnflag) AS seq FROM lineitem)"""
+
+
+def _pick_sql(words: tuple[str, ...], n: str) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + f"][CAST(({n}) % {len(words)} AS INT) + 1]"
+
+
+_filled = _pick_sql(SAYINGS, "event_id")
+for _k, _v in {"p": _pick_sql(PEOPLE, "event_id // 16"), "c": _pick_sql(CITIES, "event_id // 16"), "w": _pick_sql(THEMES, "event_id"), "v": "CAST(CAST(floor(value) AS BIGINT) AS VARCHAR)", "a": "CAST((event_id // 16) % 9 AS VARCHAR)", "b": "CAST((event_id // 16) % 5 AS VARCHAR)"}.items():
+    _filled = f"replace({_filled}, '{{{_k}}}', {_v})"
+TALK_SQL = f"""talk AS (SELECT user_id AS thread_id, ts, event_id, CASE WHEN event_id % 7 < 4 THEN 'user' WHEN event_id % 7 < 6 THEN 'assistant' ELSE 'tool' END AS role, event_id % 10 = 0 AS removed, {_filled} AS content,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)"""
 EV_SQL = """ev AS (
   SELECT user_id AS thread_id, ts, event_id, event_type, value,
     CASE WHEN event_type IN ('signup', 'click') THEN 'user' WHEN event_type IN ('view', 'purchase') THEN 'assistant' ELSE 'tool' END AS role,

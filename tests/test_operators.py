@@ -71,20 +71,70 @@ def test_streams_equal_batch(spark, tmp_path):
     assert collected(changes.select("thread_id", "key", "value", "valid_from")) == collected(facts.revisions(stated(episodes)).select("thread_id", "key", "value", "valid_from"))
 
 
-def test_name_lexer():
-    from palimpsest.functions.names import COMMON, _lexers, lex
-
-    def names(text, most=64):
-        return [(n, k) for n, k, _, _ in lex(text, _lexers(frozenset(COMMON)), most)]
-
-    assert names("Paid $1,200.50 for 3 GB and 31 items, 45 more in 1999") == [("1200.5", "number"), ("3 gb", "number"), ("45", "number")]
-    assert names("on 2024-03-05, March 7, 2023, 9 Sept 2022, May 2021 and 3/4/2020") == [("2024-03-05", "date"), ("2023-03-07", "date"), ("2022-09-09", "date"), ("2021-05", "date"), ("2020-03-04", "date")]
-    assert names("We met Ada Lovelace. Ada knows. But then Grace's idea") == [("ada lovelace", "entity"), ("grace", "entity")]
-    assert names('she said "the quick brown Fox jumps over it" to src/main.py and fooBar, `a b`') == [("the quick brown fox jumps over", "quote"), ("src/main.py", "code"), ("foobar", "code"), ("a b", "code")]
-    assert names("\u27e8#12 Ada Lovelace\u27e9 p50 v2 3.14.1") == [("3.14", "number")]
-    assert names("Ada Lovelace wrote 99 ms here", 1) == [("99 ms", "number")]
-    text = "see Ada Lovelace"
-    assert [text[a:b] for _, _, a, b in lex(text, _lexers(frozenset(COMMON)))] == ["Ada Lovelace"]
+def test_name_lexer(spark):
+    from palimpsest.functions.names import name_places, name_rows
+
+    cases = {
+        "Paid $1,200.50 for 3 GB and 31 items, 45 more in 1999": [("1200.5", "number"), ("3 gb", "number"), ("45", "number")],
+        "on 2024-03-05, March 7, 2023, 9 Sept 2022, May 2021 and 3/4/2020": [("2024-03-05", "date"), ("2023-03-07", "date"), ("2022-09-09", "date"), ("2021-05", "date"), ("2020-03-04", "date")],
+        "We met Ada Lovelace. Ada knows. But then Grace's idea": [("ada lovelace", "entity"), ("grace", "entity")],
+        'she said "the quick brown Fox jumps over it" to src/main.py and fooBar, `a b`': [("the quick brown fox jumps over", "quote"), ("src/main.py", "code"), ("foobar", "code"), ("a b", "code")],
+        "\u27e8#12 Ada Lovelace\u27e9 p50 v2 3.14.1": [("3.14", "number")],
+        "5% of 50ms": [("5 %", "number"), ("50 ms", "number")],
+        "": [],
+        None: [],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "id long, content string")
+    rows = sorted((r["id"], r["start"], r["name"], r["kind"]) for r in name_places(df, ["id"]).collect())
+    for i, (text, want) in enumerate(cases.items()):
+        assert [(n, k) for j, _, n, k in rows if j == i] == want, text
+    one = spark.createDataFrame([(1, "Ada Lovelace wrote 99 ms here")], "id long, content string")
+    assert [(r["name"], r["start"]) for r in name_rows(one, ["id"], most=1).collect()] == [("99 ms", 19)]
+    long = spark.createDataFrame([(1, '"' + "word " * 200_000), (2, "a." * 100_000)], "id long, content string")
+    assert name_places(long, ["id"]).where("kind = 'quote'").collect() == []
+
+
+def test_rules_and_corrections(spark):
+    from palimpsest.operators import atomize
+
+    said = [
+        (1, 1, "user", "My name is Ada Lovelace. The deploy window is now 09:30."),
+        (1, 2, "assistant", "My name is Bob Stone. Remember that the budget is 40 usd."),
+        (1, 3, "user", "One ground rule: never send mail. It is not 09:30, but 10:15."),
+        (1, 4, "tool", "The deploy window is now 11:00."),
+        (1, 5, "user", "Actually, that was odd."),
+        (1, 6, "user", "I live in Port of Spain now. the weather is nice."),
+        (1, 7, "user", None),
+    ]
+    found = atomize.drafts(spark.createDataFrame(said, "thread_id long, seq long, role string, content string"))
+    got = sorted((r["seq"], r["rule"], r["key"], r["value"]) for r in found.collect())
+    assert got == [
+        (1, "fact.copula", "fact.deploy-window", "09:30"),
+        (1, "identity.name", "identity.name", "Ada Lovelace"),
+        (2, "remember", "fact.budget", "40 usd"),
+        (3, "correction.not-but", "correction.10-15", "10:15"),
+        (3, "rule", "rule.send-mail", "never: send mail"),
+        (5, "correction.bare", "correction.odd", "that was odd"),
+        (6, "user.location", "user.location", "Port of Spain"),
+    ]
+    fixed = {r["seq"]: r["key"] for r in atomize.corrected(found).where("rule = 'correction.not-but'").collect()}
+    assert fixed == {3: "fact.deploy-window"}
+    facts_ = facts.two_lanes(atomize.statements(atomize.corrected(found)))
+    window = sorted((r["value"], r["phase"]) for r in facts_.where("key = 'fact.deploy-window'").collect())
+    assert window == [("09:30", "HISTORICAL"), ("10:15", "SUPPORTED")]
+
+
+def test_long_thread_chains_in_linear_time(spark):
+    n = 200_000
+    e = spark.range(1, n + 1).select(F.lit(1).cast("long").alias("thread_id"), F.col("id").alias("seq"), F.lit("user").alias("role"), F.col("id").cast("string").alias("content"))
+    assert collected(archive.verify_chain(archive.chained(e)).select("links", "wrong", "broken")) == [(n, 0, 0)]
+
+
+def test_walk_to_the_nearest_stops_at_a_hole(spark):
+    rows = [(1, 1, "user", False), (1, 2, "tool", False), (1, 4, "assistant", False), (1, 5, "user", True), (1, 6, "assistant", False)]
+    e = spark.createDataFrame(rows, "thread_id long, seq long, role string, removed boolean")
+    assert collected(archive.nearest_in_direction(e, "user", 12, False).select("seq", "near_seq")) == [(1, None), (2, 1), (4, None), (5, None), (6, None)]
+    assert collected(archive.nearest_in_direction(e, "assistant", 12, True).select("seq", "near_seq")) == [(1, None), (2, None), (4, 6), (5, 6), (6, None)]
 
 
 def test_sequence_references(spark):

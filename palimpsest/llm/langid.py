@@ -2,8 +2,9 @@
 
 A text is the average of the embeddings of its words; a word's embedding is the average over hashed byte n-grams of
 the lower-cased word with its borders, and the word itself. The model is trained by stochastic gradient descent in numpy on
-a bounded sample of labelled rows, calibrated by a temperature, and folded into one table of per-bucket logits, so
-that prediction is one lookup for each n-gram of each distinct word of a slice.
+a bounded sample of labelled rows, as many of each language. Tasks turn the whole texts of the sample into features, so
+that only (bucket, weight) pairs reach the driver. The model is calibrated by a temperature and folded into one table of
+per-bucket logits, so that prediction is one lookup for each n-gram of each distinct word of a slice.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import documents
@@ -23,8 +24,7 @@ UNKNOWN = "und"
 BUCKETS = 1 << 16
 DIM = 16
 GRAMS = (1, 2, 3, 4)
-SAMPLE_ROWS = 2000  # labelled rows read for training, whatever the table's size
-SAMPLE_CHARS = 2000  # of each sampled row, so that the sample fits the driver; prediction reads whole texts
+SAMPLE_ROWS = 2000  # labelled rows (whole texts) to train on, whatever the table's size, dealt evenly to the languages
 _U = np.uint64
 
 
@@ -56,19 +56,22 @@ def word_features(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(buckets).astype(np.int64), np.concatenate(owner)
 
 
-def _averages(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+def text_features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text: its feature buckets and their weights (each word weighs the same, its features share that)."""
-    words = Words(pa.array(texts, pa.string()))
-    bucket, owner = word_features(words, np.arange(len(words.hash)))
+    words = Words(column)
+    kinds, one, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+    bucket, owner = word_features(words, one)
     order = np.argsort(owner, kind="stable")
-    bucket, owner = bucket[order], owner[order]
-    weight = 1.0 / np.bincount(owner, minlength=len(words.hash))[owner]
-    at = np.searchsorted(owner, words.first)
+    bucket, n = bucket[order], np.bincount(owner, minlength=len(kinds))
+    start = np.append(0, np.cumsum(n))
     out = []
-    for i in range(len(texts)):
-        b, inverse = np.unique(bucket[at[i] : at[i + 1]], return_inverse=True)
-        w = np.bincount(inverse, weight[at[i] : at[i + 1]])
-        out.append((b, (w / max(1, words.first[i + 1] - words.first[i])).astype(np.float32)))
+    for a, b in zip(words.first, words.first[1:]):
+        which, times = np.unique(inverse[a:b], return_counts=True)
+        size = n[which]
+        at = np.repeat(start[which] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+        weight = np.bincount(bucket[at], np.repeat(times / size, size), BUCKETS)
+        some = np.flatnonzero(weight)
+        out.append((some, (weight[some] / max(1, b - a)).astype(np.float32)))
     return out
 
 
@@ -77,8 +80,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 4.0, seed: int = 7) -> Model:
-    """Train on three quarters of the rows; the rest set the temperature and the rejection threshold.
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], steps: int = 6000, rate: float = 4.0, seed: int = 7) -> Model:
+    """Train on three quarters of the rows (features of whole texts); the rest set the temperature and the threshold.
+
+    The temperature makes held-out texts score what they are worth and noise (the same texts with random features) what
+    guessing would. The threshold rejects 99 in a hundred noise texts as long as it stays well below the scores of 999 in
+    a thousand held-out texts judged right, and is always clearly above guessing.
 
     With one language or none there is nothing to tell apart: its score is then 1 everywhere, or no language is learned.
     """
@@ -86,7 +93,6 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 4.0,
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0, 0.0)
     rng = np.random.default_rng(seed)
-    rows = _averages(texts)
     y = np.searchsorted(np.array(langs), np.array(labels))
     order = rng.permutation(len(rows))
     held = order[: len(rows) // 4]
@@ -95,6 +101,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 4.0,
     out = np.zeros((DIM, len(langs)), np.float32)
     bias = np.zeros(len(langs), np.float32)
     eye = np.eye(len(langs), dtype=np.float32)
+    epochs = max(1, -(-steps // max(1, len(train))))  # passes, so that small samples are seen often enough
     for epoch in range(epochs):
         lr = rate * (1 - epoch / epochs)
         for i in rng.permutation(train):
@@ -105,28 +112,56 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 4.0,
             out -= lr * 0.1 * np.outer(v, g)
             bias -= lr * 0.01 * g
             emb[b] -= lr * w[:, None] * back[None, :]
+    seen = np.zeros(BUCKETS, bool)
+    for i in train:
+        seen[rows[i][0]] = True
+    emb[~seen] = 0  # what no training text has says nothing
     logits = emb @ out
-    z = np.array([w @ logits[b] + bias for b, w in (rows[i] for i in held)]) if len(held) else np.zeros((0, len(langs)))
     temperature, threshold, doubt = 1.0, 0.0, 1 / (len(held) + 2)
-    if len(held):
+    if len(held) and len(langs) > 1:
+        z = np.array([w @ logits[b] + bias for b, w in (rows[i] for i in held)])
+        # what no language is like: texts of the same shape whose features fall into random buckets
+        noise = np.array([w @ logits[rng.integers(0, BUCKETS, len(b))] + bias for b, w in (rows[i] for i in held)])
         grid = np.geomspace(0.05, 20, 60)
-        loss = [-np.log(_softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in grid]
-        temperature = float(grid[int(np.argmin(loss))])
-        right = _softmax(z / temperature)[np.arange(len(held)), y[held]]
-        # rejects at most about one in a thousand texts of a known language, and never one it is half sure of
-        threshold = float(min(0.5, np.quantile(right, 0.001)))
+        right = [-np.log(_softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in grid]
+        even = [-np.log(_softmax(noise / t) + 1e-12).mean() for t in grid]
+        temperature = float(grid[int(np.argmin(np.add(right, even)))])
+        p = _softmax(z / temperature)
+        sure = p.max(axis=1)[p.argmax(axis=1) == y[held]]
+        guess = 1 / len(langs)
+        known = np.quantile(sure, 0.001) if len(sure) else 0.5
+        threshold = float(max(guess + 0.1 * (1 - guess), min(0.9 * known, np.quantile(_softmax(noise / temperature).max(axis=1), 0.99))))
     return Model(langs, logits.astype(np.float32), bias, temperature, doubt, threshold)
 
 
-def train(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on at most `rows` labelled texts, those with the least hash of doc_id; rows without text or lang are out."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, chars).alias("text"), "lang")
-    # keys first, so that what reaches the driver doesn't grow with the number of tasks
-    keys = labelled.select("h", F.lit(1).alias("one")).orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()
-    if keys["h"] is None:
-        return fit([], [])
-    sample = labelled.where(F.col("h") <= keys["h"]).orderBy("h", "doc_id", "text", "lang").limit(rows).collect()
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(lang, h, text) of at most `rows` labelled texts with a letter: of each language the same number of those with the
+    least hash of (doc_id, text), so that no language is missed for being rare. Repeated rows count once."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row per language
+    each = max(1, rows // max(1, len(counts)))
+    # rows far beyond the wanted ones are dropped by their hash before anything is sorted
+    share = {r["lang"]: min(1.0, (1.5 * each + 50) / max(1, r["n"])) for r in counts}
+    near = F.lit(False)
+    for lang, part in share.items():
+        near |= (F.col("lang") == lang) & (F.shiftrightunsigned("h", 24) < int(part * (1 << 40)))
+    some = labelled.where(near).dropDuplicates(["lang", "h"])
+    order = Window.partitionBy("lang").orderBy("h")
+    return some.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).select("lang", "h", "text")
+
+
+def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    """Fit on the sample; rows without text or lang are out. Its texts stay in the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = text_features(part.column(2))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([b.astype("<u2").tobytes() for b, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], ["lang", "h", "bucket", "weight"])
+
+    found = sample(docs, rows).mapInArrow(run, "lang string, h long, bucket binary, weight binary").collect()
+    found.sort(key=lambda r: (r["h"], r["lang"]))
+    return fit([(np.frombuffer(r["bucket"], "<u2").astype(np.int64), np.frombuffer(r["weight"], np.float32)) for r in found], [r["lang"] for r in found])
 
 
 def predict_slice(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -183,14 +218,15 @@ def known_language(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, "text"):
                 keep = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
                 if m.langs:
-                    keep &= predict_slice(part.column(part.schema.get_field_index("text")), m)[1] >= m.threshold
+                    keep &= predict_slice(part.column(1), m)[1] >= m.threshold
                 else:
                     keep[:] = False
-                rest = part.select(part.schema.names[1:])
-                yield rest.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(part.columns[2:], docs_names).filter(pa.array(keep))
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_known")
-    return docs.select(letters, *docs.columns).mapInArrow(run, docs.schema)
+    docs_names = docs.columns
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    numbered = docs.select(letters, "text", *docs.columns).toDF("known", "text", *[f"c{i}" for i in range(len(docs_names))])
+    return numbered.mapInArrow(run, docs.schema)
 
 
 def held_out(column: str, folds: int, fold: int) -> Column:

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ def test_gradient_lowers_the_loss(seed):
     rng = random.Random(seed)
     langs = rng.choices(list(SYLLABLES), k=120)
     texts = [text(lang, rng, 30) for lang in langs]
-    model = langid.fit(texts, langs)
+    model = langid.fit(langid.text_features(pa.array(texts)), langs)
     best, score = langid.predict_slice(pa.array(texts), model)
     assert [model.langs[i] for i in best] == langs and score.min() > 1 / 3
 
@@ -65,3 +66,44 @@ def test_no_labels_and_empty_table(spark):
     one = langid.train(docs.where("lang = 'aa' or lang is null"))
     assert {r["lang_pred"] for r in langid.identify(docs, one).collect()} == {"aa", "und"}
     assert langid.identify(docs.where("doc_id = -4"), none).collect() == []
+
+
+def test_text_features_are_means_over_words():
+    texts = pa.array(["abc abc de", "", "de"])
+    words = langid.Words(texts)
+    bucket, owner = langid.word_features(words, np.arange(len(words.hash)))
+    for i, (b, w) in enumerate(langid.text_features(texts)):
+        want = np.zeros(langid.BUCKETS)
+        for k in range(words.first[i], words.first[i + 1]):
+            own = bucket[owner == k]
+            np.add.at(want, own, 1 / len(own) / (words.first[i + 1] - words.first[i]))
+        assert np.allclose(want[b], w) and len(b) == (want > 0).sum()
+
+
+def test_rejects_what_no_language_is_like(spark):
+    """Texts in a script that no training text has, and the sample: even over languages, whole texts."""
+    rng = random.Random(4)
+    prose = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(prose.where(~langid.held_out("doc_id", 5, 0)))
+    strange = spark.createDataFrame([(i, "".join(chr(0x0430 + rng.randrange(32)) if rng.random() < 0.8 else " " for _ in range(400)), None) for i in range(40)], "doc_id long, text string, lang string")
+    out = langid.identify(strange, model).collect()
+    assert np.mean([r["rejected"] for r in out]) > 0.5 and langid.known_language(strange, model).count() == sum(not r["rejected"] for r in out)
+    kept = langid.identify(prose.where(langid.held_out("doc_id", 5, 0)).where(F.length("text") > 40), model)
+    assert kept.where("rejected").count() <= 0.02 * kept.count()
+    docs = table(spark)
+    model = langid.train(docs, rows=300)
+    counts = {r["lang"]: r["n"] for r in langid.sample(docs, 90).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"aa": 30, "bb": 30, "cc": 30}
+    clash = docs.withColumn("known", F.lit("k")).withColumn("_known", F.lit(1))
+    kept = langid.known_language(clash, model)
+    assert kept.columns == clash.columns and {r["_known"] for r in kept.collect()} == {1}
+
+
+def test_query_equals_the_library(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = {r["doc_id"]: r for r in langid.op7_language_id(spark, folder).collect()}
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert set(rows) == set(docs)
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items())
+    held = [i for i, r in rows.items() if r["held_out"] and docs[i]["lang"] and any(c.isalpha() for c in docs[i]["text"] or "")]
+    assert np.mean([rows[i]["lang_pred"] == docs[i]["lang"] for i in held]) > 0.9

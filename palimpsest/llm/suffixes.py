@@ -336,9 +336,9 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     sure, sole = F.col("n") > 1, F.col("kinds") > 1
     speaks = sole & ((F.col("n") == 1) | (F.col("tag") == tag))
     by_doc = marked.groupBy("at").agg(
-        F.collect_list(F.when(sure, F.col("place"))).alias("sure"),
-        F.collect_list(F.when(speaks & (F.col("kinds") <= large_group), F.struct("place", "anchor"))).alias("some"),
-        F.collect_list(F.when(speaks & (F.col("kinds") > large_group), F.struct("place", "anchor"))).alias("many"),
+        F.collect_set(F.when(sure, F.col("place"))).alias("sure"),  # sets: repeated rows have one list, not one each
+        F.collect_set(F.when(speaks & (F.col("kinds") <= large_group), F.struct("place", "anchor"))).alias("some"),
+        F.collect_set(F.when(speaks & (F.col("kinds") > large_group), F.struct("place", "anchor"))).alias("many"),
     )
     by_doc = written(by_doc, "segment-places")
     wanted = by_doc.where(F.size("some") + F.size("many") > 0)

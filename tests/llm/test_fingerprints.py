@@ -60,3 +60,13 @@ def test_one_none_and_repeated(spark):
     assert len({r["fingerprint"] for r in rows if r["doc_id"]}) == 1
     assert fingerprints.fingerprint_edits(docs.where("doc_id = 1").limit(1)).first()["near_next"] == 1.0
     assert fingerprints.fingerprint_edits(docs.where("doc_id = 5")).collect() == []
+
+
+def test_query_equals_the_library(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r for r in fingerprints.op10_document_fingerprints(spark, folder).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    order = sorted(texts)
+    for i, j in zip(order, order[1:] + order[:1]):
+        a, q = texts[i], len(texts[i]) // 4
+        assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(a), hashlib.sha256((a[: len(a) - q] + texts[j][:q]).encode()).hexdigest())

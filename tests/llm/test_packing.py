@@ -72,3 +72,17 @@ def test_long_white_space_is_packed(spark):
 
 def test_empty_table(spark):
     assert packing.best_fit_packing(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_query_equals_the_library(spark):
+    rows = packing.op1_best_fit_packing(spark, "/root/testdata/sf0.001").collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in docs.items()}
+    assert sum(r["length"] for r in rows) == sum(map(len, ids.values()))
+    assert all(r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) for r in rows)
+    ends = defaultdict(int)
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends[r["sequence_id"]]
+        ends[r["sequence_id"]] += r["length"]
+    assert max(ends.values()) <= 1024

@@ -53,3 +53,19 @@ def test_repeated_rows_and_empty_table(spark):
     twice = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
     assert [(r["n_removed"], r["n_spans"]) for r in suffixes.remove_repeats(twice).collect()] == [(300, 1), (300, 1)]
     assert suffixes.remove_repeats(twice.where("doc_id = 2")).collect() == []
+
+
+def test_many_repeated_rows(spark):
+    """A text in a thousand rows: its places are listed once, and all of it goes everywhere."""
+    text = "".join(random.Random(2).choice("abcdef ") for _ in range(700))
+    docs = spark.createDataFrame([(1, text)] * 1000 + [(2, text[:350])], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_removed"], r["n_spans"]) for r in suffixes.remove_repeats(docs).collect())
+    assert got == {(1, 700, 1): 1000, (2, 350, 1): 1}
+
+
+def test_query_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    want = dict(zip([r["doc_id"] for r in rows], brute([(r["text"] or "").encode() for r in rows], 200)))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.op2_suffix_array_dedup(spark, folder).collect()}
+    assert got == want

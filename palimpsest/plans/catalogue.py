@@ -547,6 +547,6 @@ def document_names_capped(spark, d):
     return names.name_rows(table(spark, d, "documents"), ["doc_id"], "text", 16)
 
 
-from . import capsules, extraction, receipts, retrieval  # noqa: E402, F401  they register their queries
+from . import capsules, extraction, measures, receipts, retrieval  # noqa: E402, F401  they register their queries
 
 __all__ = ["QUERIES", "SQL", "SPAN"]

@@ -259,11 +259,11 @@ def packet_retention(spark, d):
     return talk_episodes(spark, d).where("role = 'assistant'").select("thread_id", F.col("seq").alias("turn_seq"), (F.row_number().over(order) <= 5).alias("has_body"))
 
 
-@query("SELECT event_id, CASE WHEN octet_length(encode(props)) > 9 THEN 'large' WHEN NOT json_valid(props) THEN 'invalid' WHEN json_extract(props, '$.k') IS NULL THEN 'empty' ELSE 'fine' END AS state, CASE WHEN octet_length(encode(props)) <= 9 AND json_valid(props) THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM (SELECT event_id, CASE event_id % 7 WHEN 1 THEN props || '}' WHEN 2 THEN '{}' ELSE props END AS props FROM events)")
+@query("SELECT event_id, CASE WHEN octet_length(encode(props)) > 9 THEN 'large' WHEN NOT json_valid(props) THEN 'invalid' WHEN json_extract(props, '$.k') IS NULL THEN 'empty' ELSE 'fine' END AS state, CASE WHEN octet_length(encode(props)) <= 9 AND json_valid(props) THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM (SELECT event_id, CASE event_id % 7 WHEN 1 THEN left(props, length(props) - 1) WHEN 2 THEN '{}' ELSE props END AS props FROM events)")
 def packet_preflight(spark, d):
     """Bounded JSON, checked before it is read: too large, no JSON, without the field, fine."""
     e = table(spark, d, "events")
-    p = e.select("event_id", F.when(F.col("event_id") % 7 == 1, F.concat("props", F.lit("}"))).when(F.col("event_id") % 7 == 2, "{}").otherwise(F.col("props")).alias("props"))
+    p = e.select("event_id", F.when(F.col("event_id") % 7 == 1, F.expr("left(props, length(props) - 1)")).when(F.col("event_id") % 7 == 2, "{}").otherwise(F.col("props")).alias("props"))
     small, valid, k = F.octet_length("props") <= 9, F.try_parse_json("props").isNotNull(), F.get_json_object("props", "$.k")
     return p.select("event_id", F.when(~small, "large").when(~valid, "invalid").when(k.isNull(), "empty").otherwise("fine").alias("state"), F.when(small & valid, k.cast("long")).alias("k"))
 

@@ -62,6 +62,22 @@ def hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+def sliding(events: DataFrame, length: str = "24 hours", step: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """Events per type in sliding windows, with a watermark."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", length, step).alias("w"), "event_type").agg(F.count("*").alias("events")).select("event_type", F.col("w.start").alias("from_ts"), "events")
+
+
+def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """Sessions of a user: events less than `gap` apart, put out once the watermark has passed their end."""
+    rows = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"), F.count("*").alias("events"))
+    return rows.select("user_id", "from_ts", "to_ts", "events")
+
+
+def once(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """Events without what arrives twice; state is kept only as long as the watermark allows."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+
+
 def run_to_table(stream: DataFrame, name: str, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drain a stream into a Parquet table and read it; restarting with the same checkpoint adds nothing twice."""
     query = stream.writeStream.format("parquet").queryName(name).option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()

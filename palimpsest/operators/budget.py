@@ -28,6 +28,18 @@ def recent_fill(episodes: DataFrame, budget: int, extra: int = 4) -> DataFrame:
     return rows.select("thread_id", F.aggregate("rows", start, step).alias("f")).select("thread_id", "f.used", "f.n", "f.oldest")
 
 
+def fill_with_omitted(rows: DataFrame, most: int) -> DataFrame:
+    """(thread_id, o, key, cost): in order of (o, key), what fits is taken and what doesn't is counted. A fold over the costs
+    of one thread's live facts (numbers, no texts)."""
+    lists = rows.groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("o", "key", "cost"))).alias("rows"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("used"), zero.alias("shown"), zero.alias("omitted"))
+    take = lambda a, x: F.struct((a["used"] + x["cost"]).alias("used"), (a["shown"] + 1).alias("shown"), a["omitted"].alias("omitted"))
+    leave = lambda a: F.struct(a["used"].alias("used"), a["shown"].alias("shown"), (a["omitted"] + 1).alias("omitted"))
+    done = lists.select("thread_id", F.aggregate("rows", start, lambda a, x: F.when(a["used"] + x["cost"] <= most, take(a, x)).otherwise(leave(a))).alias("f"))
+    return done.select("thread_id", "f.used", "f.shown", "f.omitted")
+
+
 def prefix(episodes: DataFrame, budget: int) -> DataFrame:
     """Oldest first up to the first episode that doesn't fit (each costs one more after the first): a running sum."""
     order = Window.partitionBy("thread_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

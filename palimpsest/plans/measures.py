@@ -6,10 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import archive
+from ..functions.text import approx_tokens
+from ..operators import archive, budget
 from ..sources.episodes import TALK_SQL, table, talk_episodes
+from .capsules import LEDGER_SQL, talk_ledger
+from .catalogue import POST_SQL
+from .extraction import COMMIT_SQL, talk_facts
 from .receipts import ALIGNED_SQL, _aligned
-from .registry import query
+from .registry import QUERIES, query
 from .retrieval import ASKED_SQL, QNAMES_SQL, QU_SQL, asked_names
 
 
@@ -85,3 +89,55 @@ def nearest_in_direction(spark, d):
     """The nearest turn of the user before each episode: removed ones are stepped over, a missing number ends the walk
     (here: every thirteenth event is missing)."""
     return archive.nearest_in_direction(talk_episodes(spark, d).where("event_id % 13 <> 5"), "user", 12, False)
+
+
+# ---- packets -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {LEDGER_SQL}, e AS (SELECT p.thread_id, p.name, p.kind, p.seq, min(p.start) AS start FROM place p GROUP BY 1, 2, 3, 4), d AS (SELECT e.*, lag(seq) OVER (PARTITION BY e.thread_id, e.name ORDER BY seq, e.kind) AS before FROM e), q AS (SELECT d.* FROM d JOIN talk t USING (thread_id, seq) WHERE t.role = 'assistant' AND (before IS NULL OR d.seq - before > 10) AND EXISTS (SELECT 1 FROM loss l WHERE l.thread_id = d.thread_id AND l.name = d.name AND l.seq < d.seq)), r AS (SELECT *, row_number() OVER (PARTITION BY thread_id, seq ORDER BY CASE kind WHEN 'quote' THEN 1 WHEN 'number' THEN 2 WHEN 'code' THEN 3 WHEN 'date' THEN 4 ELSE 5 END, start) AS rank FROM q) SELECT thread_id, seq, rank, name FROM r WHERE rank <= 3")
+def unsupported_names(spark, d):
+    """Names in a draft (here: each turn of the assistant) that the ten episodes before don't show though the ledger knows
+    them: up to three, to be looked up before the draft is released."""
+    e = talk_episodes(spark, d)
+    every = names.name_places(e, ["thread_id", "seq"]).groupBy("thread_id", "name", "kind", "seq").agg(F.min("start").alias("start"))
+    before = F.lag("seq").over(Window.partitionBy("thread_id", "name").orderBy("seq", "kind"))
+    drafts = every.withColumn("before", before).join(e.where("role = 'assistant'").select("thread_id", "seq"), ["thread_id", "seq"]).where("before is null or seq - before > 10")
+    lost = talk_ledger(spark, d).groupBy("thread_id", "name").agg(F.min("seq").alias("lost_seq"))
+    place = F.array_position(F.array(*[F.lit(k) for k in names.KINDS]), F.col("kind"))
+    order = Window.partitionBy("thread_id", "seq").orderBy(place, "start")
+    rows = drafts.join(lost, ["thread_id", "name"]).where("lost_seq < seq").withColumn("rank", F.row_number().over(order).cast("long"))
+    return rows.where("rank <= 3").select("thread_id", "seq", "rank", "name")
+
+
+@query(f"""WITH RECURSIVE {COMMIT_SQL}, c AS (SELECT thread_id, key, valid_from, CAST(ceil(length(key || ': ' || value || ' ⟨#' || CAST(valid_from AS VARCHAR) || '⟩') / 3.6e0 * 1.1e0) AS BIGINT) + 1 AS cost FROM fact WHERE phase = 'SUPPORTED'),
+w AS (SELECT thread_id, list(struct_pack(used := cost, n := CAST(1 AS BIGINT), omitted := CAST(0 AS BIGINT)) ORDER BY valid_from DESC, key) AS rows FROM c GROUP BY 1),
+t AS (SELECT thread_id, list_reduce(rows, lambda a, x: CASE WHEN a.used + x.used <= 60 THEN struct_pack(used := a.used + x.used, n := a.n + 1, omitted := a.omitted) ELSE struct_pack(used := a.used, n := a.n, omitted := a.omitted + 1) END, struct_pack(used := CAST(0 AS BIGINT), n := CAST(0 AS BIGINT), omitted := CAST(0 AS BIGINT))) AS f FROM w) SELECT thread_id, f.used AS used, f.n AS shown, f.omitted AS omitted FROM t""")
+def certificate_fill(spark, d):
+    """Certificates of supported facts, newest first, taken while they fit into sixty tokens, and how many were left out."""
+    line = F.concat("key", F.lit(": "), "value", F.lit(" ⟨#"), F.col("valid_from").cast("string"), F.lit("⟩"))
+    rows = talk_facts(spark, d).where("phase = 'SUPPORTED'").select("thread_id", (-F.col("valid_from")).alias("o"), "key", (approx_tokens(line) + 1).alias("cost"))
+    return budget.fill_with_omitted(rows, 60)
+
+
+@query(f"""WITH {POST_SQL}, size AS (SELECT count(*) AS n, avg(dl) AS a FROM (SELECT DISTINCT doc_id, dl FROM post)), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / a))), 6) AS score FROM terms JOIN post USING (term) JOIN df USING (term), size GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s), c AS (SELECT k.query_id, k.doc_id, rank, CAST(sum(ceil(length(text) / 3.6e0 * 1.1e0)) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used FROM k JOIN documents USING (doc_id) WHERE rank <= 10) SELECT query_id, rank, doc_id, used FROM c WHERE used <= 2000""")
+def bm25_packets(spark, d):
+    """The baseline of plain search: the best texts of each query that two thousand tokens hold, up to the first that doesn't
+    fit."""
+    best = QUERIES["bm25_topk"](spark, d)
+    cost = table(spark, d, "documents").select("doc_id", approx_tokens(F.col("text")).alias("tokens"))
+    used = F.sum("tokens").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return best.join(cost, "doc_id").withColumn("used", used).where("used <= 2000").select("query_id", "rank", "doc_id", "used")
+
+
+@query(f"WITH RECURSIVE {LEDGER_SQL}, n AS (SELECT thread_id, name, max(seq) AS seq FROM loss GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY seq DESC, name) AS r, count(*) OVER (PARTITION BY thread_id) AS total FROM n) SELECT thread_id, '⟨lost: ' || string_agg(name || ' #' || CAST(seq AS VARCHAR), ', ' ORDER BY r) || CASE WHEN max(total) > 6 THEN ', +' || CAST(max(total) - 6 AS VARCHAR) ELSE '' END || '⟩' AS line FROM r WHERE r <= 6 GROUP BY 1")
+def ledger_lines(spark, d):
+    """What a packet says of its thread's losses: the six newest names with their places, and how many more there are."""
+    newest = talk_ledger(spark, d).groupBy("thread_id", "name").agg(F.max("seq").alias("seq"))
+    order = Window.partitionBy("thread_id").orderBy(F.desc("seq"), "name")
+    ranked = newest.withColumn("r", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy("thread_id"))).where("r <= 6")
+    words = F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat("name", F.lit(" #"), F.col("seq").cast("string")).alias("w")))), lambda x: x["w"])
+    rows = ranked.groupBy("thread_id").agg(F.array_join(words, ", ").alias("w"), F.max("total").alias("total"))
+    more = F.when(F.col("total") > 6, F.concat(F.lit(", +"), (F.col("total") - 6).cast("string"))).otherwise("")
+    return rows.select("thread_id", F.concat(F.lit("⟨lost: "), "w", more, F.lit("⟩")).alias("line"))

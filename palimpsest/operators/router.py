@@ -11,14 +11,21 @@ MOST_REFERENCES, MOST_SPAN = 3, 6
 ROUTES = ["sequence", "fact", "ledger", "lexical"]
 
 
+# What a number behind # may count instead of turns of this thread, and words for a turn.
+FOREIGN = ("issue", "pr", "pull", "ticket", "bug", "gh")
+TURN = ("turn", "message", "episode", "seq")
+_N = "(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]{1,9})"
+
+
 def sequence_references(questions: DataFrame) -> DataFrame:
-    """(question_id, thread_id, seq) named by a question as #12, #12-15 or 'turn 12': at most three references of at
-    most six episodes. A # that counts somebody else's issues is none."""
-    text = F.regexp_replace("text", r"(?i)\b(?:issue|pr|pull|ticket|bug|gh) ?#[0-9]+", " ")
-    found = F.regexp_extract_all(text, F.lit(r"(?i)((?:#|\bturns? #?)[0-9]{1,9}(?:-[0-9]{1,9})?)"), F.lit(1))
-    ref = questions.select("question_id", "thread_id", F.explode(F.slice(F.array_distinct(found), 1, MOST_REFERENCES)).alias("ref"))
+    """(question_id, thread_id, seq) named by a question as #12, #12-15, 'turn 1,345' or 'the 345th turn': at most three
+    references of at most six episodes. A # that counts somebody else's issues is none."""
+    words = "|".join(TURN)
+    text = F.regexp_replace("text", rf"(?i)\b(?:{'|'.join(FOREIGN)}) ?#[0-9]+", " ")
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)((?:#|\b(?:{words})s? #?){_N}(?: ?[-–] ?#?{_N})?|\b{_N}(?:st|nd|rd|th) (?:{words})\b)"), F.lit(1))
+    ref = questions.select("question_id", "thread_id", F.explode(F.slice(F.array_distinct(F.transform(found, lambda r: F.regexp_replace(r, ",", ""))), 1, MOST_REFERENCES)).alias("ref"))
     low = F.regexp_extract("ref", r"([0-9]+)", 1).cast("long")
-    high = F.coalesce(F.expr("try_cast(nullif(regexp_extract(ref, '-([0-9]+)', 1), '') AS BIGINT)"), low)
+    high = F.coalesce(F.expr("try_cast(nullif(regexp_extract(ref, '[-–] ?#?([0-9]+)', 1), '') AS BIGINT)"), low)
     spans = ref.select("question_id", "thread_id", low.alias("a"), F.least(high, low + MOST_SPAN - 1).alias("b")).where("a >= 1 and b >= a")
     return spans.select("question_id", "thread_id", F.explode(F.sequence("a", "b")).alias("seq")).distinct()
 

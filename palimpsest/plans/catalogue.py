@@ -540,11 +540,11 @@ def page_names(spark, d):
     return names.name_places(table(spark, d, "pages"), ["page_id"], "html")
 
 
-@query(f"""WITH {names.places_sql('documents', 'doc_id', 'text')}, f AS (SELECT doc_id, name, min(start) AS start, arg_min(kind, start) AS kind FROM place GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE kind WHEN 'quote' THEN 1 WHEN 'number' THEN 2 WHEN 'code' THEN 3 WHEN 'date' THEN 4 ELSE 5 END, start) AS r FROM f) SELECT doc_id, name, kind, start FROM r WHERE r <= 16""")
-def document_names_capped(spark, d):
-    """Each distinct name of a document at its first place; of more than 16, the most decisive kinds."""
-    return names.name_rows(table(spark, d, "documents"), ["doc_id"], "text", 16)
+@query(f"""WITH {names.places_sql('pages', 'page_id', 'html')}, f AS (SELECT page_id, name, min(start) AS start, arg_min(kind, start) AS kind FROM place GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CASE kind WHEN 'quote' THEN 1 WHEN 'number' THEN 2 WHEN 'code' THEN 3 WHEN 'date' THEN 4 ELSE 5 END, start) AS r FROM f) SELECT page_id, name, kind, start FROM r WHERE r <= 3""")
+def page_names_capped(spark, d):
+    """Each distinct name of a page at its first place; of more than three, the most decisive kinds."""
+    return names.name_rows(table(spark, d, "pages"), ["page_id"], "html", 3)
 
 
 from . import capsules, extraction, measures, receipts, retrieval  # noqa: E402, F401  they register their queries

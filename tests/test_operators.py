@@ -140,9 +140,9 @@ def test_walk_to_the_nearest_stops_at_a_hole(spark):
 def test_sequence_references(spark):
     from palimpsest.operators.router import sequence_references
 
-    asked = [(1, 7, "#12-40 and turn 3"), (2, 7, "issue #9, PR #8"), (3, 7, "345 apples"), (4, 7, "#5 #5 #6 #7 #8")]
+    asked = [(1, 7, "#12-40 and turn 3"), (2, 7, "issue #9, PR #8"), (3, 7, "345 apples"), (4, 7, "#5 #5 #6 #7 #8"), (5, 7, "messages 1,345 – 1,346, the 21st turn; seq 9"), (6, 7, "3rd place, turnover 12")]
     got = sequence_references(spark.createDataFrame(asked, "question_id long, thread_id long, text string"))
-    assert sorted((r["question_id"], r["seq"]) for r in got.collect()) == [(1, s) for s in (3, 12, 13, 14, 15, 16, 17)] + [(4, 5), (4, 6), (4, 7)]
+    assert sorted((r["question_id"], r["seq"]) for r in got.collect()) == [(1, s) for s in (3, 12, 13, 14, 15, 16, 17)] + [(4, 5), (4, 6), (4, 7), (5, 9), (5, 21), (5, 1345), (5, 1346)]
 
 
 def test_bundle_round_trip(spark, tmp_path):

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import re
 import zlib
@@ -30,12 +31,18 @@ def test_without_dropout_it_is_the_models_own(pieces):
     assert all(pieces.encode(t) == model.encode(t) for t in texts)
 
 
+@functools.cache
+def vocabulary():
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    n = model.get_piece_size()
+    vocab = {model.id_to_piece(i): i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    return model, vocab, {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
+
+
 def brute(text, key, seed, dropout):
     """One chunk after the other, one candidate after the other, with plain lists. Returns ids and how many candidates
     were taken and skipped."""
-    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    vocab = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-    byte = {int(model.id_to_piece(i)[3:5], 16): i for i in range(model.get_piece_size()) if model.is_byte(i)}
+    model, vocab, byte = vocabulary()
     out, place, taken, skipped = [], 0, 0, 0
     for piece in re.split("(▁)", " " + text) if text else []:
         for chunk in ["▁"] if piece == "▁" else re.findall(r" *[^ ]+| +", piece):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, katz, langid, lines, minhash, neighbours, packing, pieces, suffixes
+from . import chat, fingerprints, frames, katz, langid, lines, minhash, neighbours, packing, pieces, suffixes
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_embedding_near_dedup": neighbours.op9_embedding_near_dedup,
     "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
+    "op12_fill_in_middle": frames.op12_fill_in_middle,
 }
-SQL: dict[str, str] = {"op3_chat_formatting": chat.OP3_SQL}
+SQL: dict[str, str] = {"op3_chat_formatting": chat.OP3_SQL, "op12_fill_in_middle": frames.OP12_SQL}

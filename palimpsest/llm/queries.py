@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, frames, katz, langid, lines, minhash, neighbours, packing, pieces, suffixes
+from . import chat, fingerprints, frames, katz, langid, lines, minhash, neighbours, packing, pieces, sketches, suffixes
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_embedding_near_dedup": neighbours.op9_embedding_near_dedup,
     "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
     "op12_fill_in_middle": frames.op12_fill_in_middle,
+    "op13_ranked_search": sketches.op13_ranked_search,
 }
-SQL: dict[str, str] = {"op3_chat_formatting": chat.OP3_SQL, "op12_fill_in_middle": frames.OP12_SQL}
+SQL: dict[str, str] = {"op3_chat_formatting": chat.OP3_SQL, "op12_fill_in_middle": frames.OP12_SQL, "op13_ranked_search": sketches.OP13_SQL}

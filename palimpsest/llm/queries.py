@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, frames, katz, langid, lines, minhash, neighbours, packing, pieces, sketches, suffixes
+from . import chat, fingerprints, frames, katz, langid, lines, minhash, multiindex, neighbours, packing, pieces, sketches, suffixes
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_embedding_near_dedup": neighbours.op9_embedding_near_dedup,
     "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
+    "op11_nearest_neighbours": multiindex.op11_nearest_neighbours,
     "op12_fill_in_middle": frames.op12_fill_in_middle,
     "op13_ranked_search": sketches.op13_ranked_search,
 }

@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sentences, sentences_sql
 from ..operators import atomize, facts
-from ..sources.episodes import CITIES, PEOPLE, TALK_SQL, talk_episodes
+from ..sources.episodes import CITIES, CONV_SQL, PEOPLE, TALK_SQL, conversation_episodes, numbered, table, talk_episodes
 from .registry import query, two_lane_sql
 
 DRAFTS_SQL = f"{TALK_SQL}, {atomize.drafts_sql('talk')}"
-FIXED_SQL = DRAFTS_SQL + r""", held AS (SELECT *, lead(seq) OVER (PARTITION BY thread_id, key ORDER BY seq) AS until FROM (SELECT thread_id, key, seq, min(lower(trim(regexp_replace(value, '\s+', ' ', 'g')))) AS norm FROM draft WHERE supersedes IS NULL GROUP BY 1, 2, 3)),
-holder AS (SELECT d.thread_id, d.seq, d.sentence, d.probe, d.no, arg_max(h.key, (h.seq, h.key)) AS holder FROM draft d JOIN held h ON h.thread_id = d.thread_id AND h.norm = lower(trim(regexp_replace(d.supersedes, '\s+', ' ', 'g'))) AND h.seq < d.seq AND (h.until IS NULL OR h.until >= d.seq) WHERE d.supersedes IS NOT NULL GROUP BY ALL),
-fixed AS (SELECT d.* EXCLUDE (key), coalesce(h.holder, d.key) AS key FROM draft d LEFT JOIN holder h USING (thread_id, seq, sentence, probe, no))"""
+FIXED_SQL = f"{DRAFTS_SQL}, {atomize.corrected_sql()}"
 COMMIT_SQL = FIXED_SQL + f""", said AS (SELECT thread_id, key, seq, arg_min(value, (sentence, probe, no)) AS value, CASE WHEN arg_min(role, (sentence, probe, no)) = 'assistant' THEN 'assistant' ELSE 'user' END AS authority FROM fixed GROUP BY 1, 2, 3),
 {two_lane_sql('said')}"""
 
@@ -47,7 +45,7 @@ def rule_drafts_bounded(spark, d):
     return atomize.bounded(talk_drafts(spark, d), 1).select("thread_id", "seq", "rule", "key", "overflow")
 
 
-@query(f"WITH {FIXED_SQL} SELECT thread_id, seq, sentence, probe, no, key, value, supersedes FROM fixed WHERE supersedes IS NOT NULL")
+@query(f"WITH RECURSIVE {FIXED_SQL} SELECT thread_id, seq, sentence, probe, no, key, value, supersedes FROM fixed WHERE supersedes IS NOT NULL")
 def corrections_resolved(spark, d):
     return atomize.corrected(talk_drafts(spark, d)).where("supersedes is not null").select("thread_id", "seq", "sentence", "probe", "no", "key", "value", "supersedes")
 
@@ -138,3 +136,46 @@ def frontier_order(spark, d):
     kind = F.create_map(*[F.lit(x) for a, k in AREA_KIND.items() for x in (a, KINDS.index(k))])
     rows = talk_facts(spark, d).where("phase = 'SUPPORTED'").select("thread_id", "key", "valid_from", F.coalesce(kind[F.split_part("key", F.lit("."), F.lit(1))], F.lit(KINDS.index("fact"))).alias("kind_no"), (F.col("valid_from") % 9 == 0).alias("pinned"), F.length(F.concat("key", F.lit(": "), "value")).alias("cost"))
     return facts.frontier_lanes(rows, 160)
+
+
+# ---- corrections of corrections -----------------------------------------------------------------------------
+
+CHAIN_SQL = """chev AS (SELECT user_id AS thread_id, ts, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS nth, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS prior, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+chtalk AS (SELECT thread_id, seq, CASE WHEN event_id % 23 = 0 THEN 'assistant' ELSE 'user' END AS role, CASE WHEN nth % 6 = 0 THEN 'The ' || event_type || ' ceiling is now ' || CAST(event_id AS VARCHAR) || ' units.' ELSE 'It is not ' || CAST(prior AS VARCHAR) || ' units, but ' || CAST(event_id AS VARCHAR) || ' units.' END AS content FROM chev)"""
+
+
+def chain_episodes(spark, d) -> DataFrame:
+    """Every sixth event of a user and type states a ceiling (the event's number), and each of the up to five behind it
+    corrects the one before; every 23rd event is the assistant's, whose corrections are only proposals."""
+    kind = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    nth, prior = F.row_number().over(kind) - 1, F.lag("event_id").over(kind)
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", nth.alias("nth"), prior.alias("prior"))
+    state = F.concat(F.lit("The "), "event_type", F.lit(" ceiling is now "), F.col("event_id").cast("string"), F.lit(" units."))
+    fix = F.concat(F.lit("It is not "), F.col("prior").cast("string"), F.lit(" units, but "), F.col("event_id").cast("string"), F.lit(" units."))
+    rows = e.select(F.col("user_id").alias("thread_id"), "ts", "event_id", F.when(F.col("event_id") % 23 == 0, "assistant").otherwise("user").alias("role"), F.when(F.col("nth") % 6 == 0, state).otherwise(fix).alias("content"))
+    return numbered(rows, "ts", "event_id")
+
+
+@query(f"""WITH RECURSIVE {CHAIN_SQL}, {atomize.drafts_sql('chtalk')}, {atomize.corrected_sql()}, said AS (SELECT thread_id, key, seq, arg_min(value, (sentence, probe, no)) AS value, CASE WHEN arg_min(role, (sentence, probe, no)) = 'assistant' THEN 'assistant' ELSE 'user' END AS authority FROM fixed GROUP BY 1, 2, 3),
+{two_lane_sql('said')} SELECT * FROM fact""")
+def correction_chains(spark, d):
+    """Facts of chains of up to five corrections: each is put to the key that the one before was put to, unless that one was
+    only proposed."""
+    return facts.two_lanes(atomize.statements(atomize.corrected(atomize.drafts(chain_episodes(spark, d)))))
+
+
+@query(f"WITH RECURSIVE {CHAIN_SQL}, {atomize.drafts_sql('chtalk')}, {atomize.corrected_sql()}, n AS (SELECT thread_id, key, count(*) AS corrections FROM fixed WHERE supersedes IS NOT NULL GROUP BY 1, 2) SELECT split_part(key, '.', 1) = 'fact' AS resolved, corrections, count(*) AS keys FROM n GROUP BY 1, 2")
+def correction_depths(spark, d):
+    """How many keys took how many corrections, and how many corrections found no key."""
+    fixes = atomize.corrected(atomize.drafts(chain_episodes(spark, d))).where("supersedes is not null")
+    per_key = fixes.groupBy("thread_id", "key").agg(F.count("*").alias("corrections"))
+    return per_key.groupBy((F.split_part("key", F.lit("."), F.lit(1)) == "fact").alias("resolved"), "corrections").agg(F.count("*").alias("keys"))
+
+
+# ---- rules over conversations -------------------------------------------------------------------------------
+
+
+@query(f"WITH {CONV_SQL}, {atomize.drafts_sql('conv')} SELECT thread_id, seq, role, sentence, probe, no, rule, kind, key, value, supersedes, confidence FROM draft")
+def conversation_drafts(spark, d):
+    """The rules over the texts of conversations, which nobody wrote for them."""
+    return atomize.drafts(conversation_episodes(spark, d))

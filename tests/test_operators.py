@@ -3,7 +3,7 @@
 import pyspark.sql.functions as F
 
 from palimpsest.functions.text import search_terms, slug
-from palimpsest.operators import archive, budget, evidence, facts
+from palimpsest.operators import archive, atomize, budget, evidence, facts
 from palimpsest.plans.catalogue import SPAN
 from palimpsest.sources.episodes import event_episodes
 from palimpsest.streaming import incremental
@@ -181,3 +181,64 @@ def test_event_time_streams_equal_batch(spark, tmp_path):
     hours = incremental.run_to_table(incremental.hourly(incremental.file_stream(spark, plain)).select("event_type", "window.start", "n"), "hours", str(tmp_path / "hours"), str(tmp_path / "hours-c"))
     want = set(collected(events.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("event_type", "w.start", "n")))
     assert set(collected(hours)) <= want and hours.count() > 0.9 * len(want)
+
+
+def _spoken(spark, *said):
+    return spark.createDataFrame([(1, i + 1, role, text) for i, (role, text) in enumerate(said)], "thread_id long, seq long, role string, content string")
+
+
+def test_rules_take_the_words_around_their_cues(spark):
+    cases = [
+        ("user", "Hi, my name is Ines de Castro and I am late.", "identity.name", "identity.name", "Ines de Castro"),
+        ("user", "I’ve just moved to Port Louis.", "user.location", "user.location", "Port Louis"),
+        ("assistant", "My name is Ada.", None, None, None),
+        ("user", "Please remember that the beta budget is 40 usd.", "remember", "fact.beta-budget", "40 usd"),
+        ("user", "Remember, tea at noon", "remember", "fact.tea-at-noon", "tea at noon"),
+        ("user", "Don't ever deploy on Friday!", "rule", "rule.deploy-on-friday", "never: deploy on Friday!"),
+        ("user", "Nevermore is a poem", None, None, None),
+        ("assistant", "We decided to ship version 3.", "decision.stated", "decision.ship-version-3", "ship version 3"),
+        ("user", "They use tabs for the build files.", "decision.use-for", "decision.build-files", "tabs"),
+        ("user", "TODO call Omar", "task", "task.call-omar", "call Omar"),
+        ("user", "Yesterday Vera Lind now works at Graz Labs.", "person.employer", "person.vera-lind.employer", "Graz Labs"),
+        ("user", "We moved to Graz", None, None, None),
+        ("user", "Our deploy window is currently 09:30.", "fact.copula", "fact.deploy-window", "09:30"),
+        ("user", "The weather is fine.", None, None, None),
+        ("user", "The plan is " + "very " * 40 + "late in 2024.", None, None, None),
+        ("tool", "My name is Ada.", None, None, None),
+    ]
+    got = {}
+    for r in atomize.drafts(_spoken(spark, *[c[:2] for c in cases])).where("probe = 0").collect():
+        got.setdefault(r["seq"], []).append((r["rule"], r["key"], r["value"]))
+    for i, (_, text, *want) in enumerate(cases):
+        assert got.get(i + 1) == ([tuple(want)] if want[0] else None), text
+
+
+def test_corrections_of_corrections(spark):
+    for links in range(1, 6):
+        said = [("user", "The deploy window is now 09:00.")] + [("user", f"Not {8 + i:02}:00, but {9 + i:02}:00.") for i in range(1, links + 1)]
+        out = facts.two_lanes(atomize.statements(atomize.corrected(atomize.drafts(_spoken(spark, *said)))))
+        assert collected(out.where("phase = 'SUPPORTED'").select("key", "value")) == [("fact.deploy-window", f"{9 + links:02}:00")]
+        assert out.where("phase = 'HISTORICAL'").count() == links
+
+
+def test_corrections_find_what_is_held_now(spark):
+    said = [
+        ("user", "The deploy window is 9:30."),
+        ("assistant", "Not 9:30, but 9:45."),  # a proposal: 9:30 stays
+        ("user", "Not 9:45, but 9:50."),  # nobody holds 9:45
+        ("user", "Not 9:30, but 10:15."),
+        ("user", "Not 9:30, but 11:00."),  # overtaken
+        ("user", "The lunch window is 10:15."),
+        ("user", "Not 10:15, but 12:00."),  # two keys hold it: the newer one
+        ("user", "The dinner window is 7:00. Not 7:00, but 8:00."),  # a key is stated once an episode
+        ("user", "Not 7:00, but 8:30."),
+    ]
+    out = atomize.corrected(atomize.drafts(_spoken(spark, *said))).where("supersedes is not null")
+    keys = [(r["seq"], r["key"]) for r in out.orderBy("seq").collect()]
+    assert keys == [(2, "fact.deploy-window"), (3, "correction.9-50"), (4, "fact.deploy-window"), (5, "correction.11-00"), (7, "fact.lunch-window"), (8, "fact.dinner-window"), (9, "fact.dinner-window")]
+
+
+def test_no_corrections_and_empty(spark):
+    assert atomize.corrected(atomize.drafts(_spoken(spark, ("user", "The plan is B2.")))).count() == 1
+    e = spark.createDataFrame([], "thread_id long, seq long, role string, content string")
+    assert atomize.corrected(atomize.drafts(e)).count() == 0

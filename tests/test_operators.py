@@ -199,7 +199,7 @@ def test_rules_take_the_words_around_their_cues(spark):
         ("assistant", "We decided to ship version 3.", "decision.stated", "decision.ship-version-3", "ship version 3"),
         ("user", "They use tabs for the build files.", "decision.use-for", "decision.build-files", "tabs"),
         ("user", "TODO call Omar", "task", "task.call-omar", "call Omar"),
-        ("user", "Yesterday Vera Lind now works at Graz Labs.", "person.employer", "person.vera-lind.employer", "Graz Labs"),
+        ("user", "yesterday Vera Lind now works at Graz Labs.", "person.employer", "person.vera-lind.employer", "Graz Labs"),
         ("user", "We moved to Graz", None, None, None),
         ("user", "Our deploy window is currently 09:30.", "fact.copula", "fact.deploy-window", "09:30"),
         ("user", "The weather is fine.", None, None, None),

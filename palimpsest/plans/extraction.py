@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sentences, sentences_sql
 from ..operators import atomize, facts
 from ..sources.episodes import CITIES, CONV_SQL, PEOPLE, TALK_SQL, conversation_episodes, numbered, table, talk_episodes
+from ..sources.tables import stored
 from .registry import query, two_lane_sql
 
 DRAFTS_SQL = f"{TALK_SQL}, {atomize.drafts_sql('talk')}"
@@ -20,8 +21,10 @@ def talk_drafts(spark, d) -> DataFrame:
     return atomize.drafts(talk_episodes(spark, d))
 
 
-def talk_facts(spark, d) -> DataFrame:
-    return facts.two_lanes(atomize.statements(atomize.corrected(talk_drafts(spark, d))))
+def talk_facts(spark, d, episodes: DataFrame | None = None) -> DataFrame:
+    """The facts of the episodes, as a written table."""
+    found = atomize.drafts(episodes if episodes is not None else talk_episodes(spark, d))
+    return stored(facts.two_lanes(atomize.statements(atomize.corrected(found))), "facts")
 
 
 @query(f"WITH {TALK_SQL}, s AS (SELECT thread_id, seq, {sentences_sql('content')} AS l FROM talk) SELECT thread_id, seq, unnest(generate_series(1, len(l))) - 1 AS sentence, unnest(l) AS text FROM s WHERE len(l) > 0")

@@ -3,7 +3,7 @@
 import pyspark.sql.functions as F
 
 from palimpsest.functions.text import search_terms, slug
-from palimpsest.operators import archive, atomize, budget, evidence, facts
+from palimpsest.operators import archive, atomize, budget, capsules, evidence, facts
 from palimpsest.plans.catalogue import SPAN
 from palimpsest.sources.episodes import event_episodes
 from palimpsest.streaming import incremental
@@ -242,3 +242,31 @@ def test_no_corrections_and_empty(spark):
     assert atomize.corrected(atomize.drafts(_spoken(spark, ("user", "The plan is B2.")))).count() == 1
     e = spark.createDataFrame([], "thread_id long, seq long, role string, content string")
     assert atomize.corrected(atomize.drafts(e)).count() == 0
+
+
+def _leaf_lines(spark, rows):
+    return spark.createDataFrame(rows, "thread_id long, no long, ordinal long, tier int, seq long, until long, to_seq long, line string")
+
+
+def test_sequential_root_prunes_and_cuts(spark):
+    rows = [
+        (1, 0, 1, 0, 1, 9, 8, "hour: 9 <1>"), (1, 0, 2, 2, 2, None, 8, "hello"), (1, 0, 3, 1, 3, None, 8, "never late"),
+        (1, 1, 1, 0, 9, None, 16, "hour: 10 <9>"), (1, 1, 2, 2, 10, None, 16, "hello"), (1, 1, 3, 2, 11, None, 16, "bye"),
+        (2, 0, 1, 2, 1, None, 8, "x"),
+    ]
+    out = capsules.sequential_root(_leaf_lines(spark, rows))
+    got = {}
+    for r in out.orderBy("thread_id", "root", "ordinal").collect():
+        got.setdefault((r["thread_id"], r["root"]), []).append(r["line"])
+    assert got == {(1, 0): ["hour: 9 <1>", "never late", "hello"], (1, 1): ["hour: 10 <9>", "never late", "hello", "bye"], (2, 0): ["x"]}
+    # whatever a writer gives is cut mechanically
+    shout = capsules.sequential_root(_leaf_lines(spark, rows), lambda root, leaf: [x._replace(line=x.line.upper()) for x in [*leaf, *root]], most=4, tokens=lambda s: len(s.split()))
+    assert [r["line"] for r in shout.where("thread_id = 1 and root = 1").orderBy("ordinal").collect()] == ["HOUR: 10 <9>"]
+    assert capsules.sequential_root(_leaf_lines(spark, [])).count() == 0
+
+
+def test_a_long_thread_of_leaves_is_one_stream(spark):
+    leaves = spark.range(100_000).select(F.lit(1).cast("long").alias("thread_id"), F.col("id").alias("no"), F.lit(1).cast("long").alias("ordinal"), F.lit(2).alias("tier"), F.col("id").alias("seq"), F.concat(F.lit("line "), (F.col("id") % 50).cast("string")).alias("line"))
+    out = capsules.sequential_root(leaves, capsules.newest(4))
+    assert out.count() == 400_000 - 6
+    assert [r["line"] for r in out.where("root = 99999").orderBy("ordinal").collect()] == ["line 49", "line 48", "line 47", "line 46"]

@@ -34,27 +34,50 @@ def record(seq: Column, role: Column, content: Column) -> Column:
     return F.to_json(F.struct(F.sha2(content, 256).alias("content_hash"), role.alias("role"), seq.alias("seq")))
 
 
-def chained(episodes: DataFrame) -> DataFrame:
+def chained(episodes: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Episodes with prev_hash and hash. hash_i = sha256(hash_(i-1) || record_i) is sequential within a thread, so threads
     are brought together and sorted by Spark and read as a stream that carries one hash: linear in a thread's length, with
-    no thread in memory."""
+    no thread in memory. With stored heads (thread_id, head_hash), a thread that has one goes on from there."""
     rec = episodes.select("thread_id", "seq", record(F.col("seq"), F.col("role"), F.col("content")).alias("record"))
+    none = F.lit(None).cast("string")
+    rec = rec.withColumn("head_hash", none) if heads is None else rec.join(heads.select("thread_id", "head_hash"), "thread_id", "left").select("thread_id", "seq", "record", "head_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         thread, last = None, ""
         for batch in batches:
             before, after = [], []
-            for t, r in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            for t, r, head in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if t != thread or not last:
-                    thread, last = t, hashlib.sha256(f"{GENESIS}{t}".encode()).hexdigest()
+                    thread, last = t, head or hashlib.sha256(f"{GENESIS}{t}".encode()).hexdigest()
                 before.append(last)
                 last = hashlib.sha256((last + r).encode()).hexdigest()
                 after.append(last)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], [*batch.schema.names, "prev_hash", "hash"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(before, pa.string()), pa.array(after, pa.string())], ["thread_id", "seq", "record", "prev_hash", "hash"])
 
     return rec.repartition("thread_id").sortWithinPartitions("thread_id", "seq").mapInArrow(run, "thread_id long, seq long, record string, prev_hash string, hash string")
 
 
+def heads_of(chain: DataFrame) -> DataFrame:
+    """(thread_id, head_seq, head_hash) of the links."""
+    return chain.groupBy("thread_id").agg(F.max("seq").alias("head_seq"), F.max_by("hash", "seq").alias("head_hash"))
+
+
+def checkpoints_of(chain: DataFrame, every: int = 4096) -> DataFrame:
+    """(thread_id, seq, hash) of every so many links: what is stored, so that verification can start anywhere."""
+    return chain.where(F.col("seq") % every == 0).select("thread_id", "seq", "hash")
+
+
+def verify_from(chain: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """Per stored checkpoint (thread_id, seq, hash): whether the chain has that hash there, and the wrong and broken links
+    from it up to the next one. A segment is verified without those before it."""
+    at = F.max("mark").over(Window.partitionBy("thread_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    marks = checkpoints.select("thread_id", "seq", F.col("hash").alias("stored"))
+    rows = chain.join(marks, ["thread_id", "seq"], "left").withColumn("mark", F.when(F.col("stored").isNotNull(), F.col("seq")))
+    before = Window.partitionBy("thread_id").orderBy("seq")
+    rows = rows.select("thread_id", F.coalesce(at, F.lit(0)).alias("from_seq"), (F.sha2(F.concat("prev_hash", "record"), 256) != F.col("hash")).alias("wrong"), F.coalesce((F.lag("hash").over(before) != F.col("prev_hash")) | (F.lag("seq").over(before) != F.col("seq") - 1), F.lit(False)).alias("broken"), F.coalesce(F.col("stored") != F.col("hash"), F.lit(False)).alias("differs"))
+    return rows.groupBy("thread_id", "from_seq").agg(F.count("*").alias("links"), F.count_if("wrong").alias("wrong"), F.count_if("broken").alias("broken"), F.bool_or("differs").alias("differs"))
+
+
 def appended(episodes: DataFrame, heads: DataFrame, incoming: DataFrame) -> DataFrame:
     """Rows (thread_id, ts, role, content) to append: numbered behind their thread's head (thread_id, head_seq), those that
     the archive already has (same thread, ts, role and content) left out, so that appending twice adds nothing."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stems import stems_of
 from ..functions.text import search_terms, terms_of
 
 K1, B = 1.2, 0.75
@@ -31,11 +32,25 @@ def query_terms(asked: DataFrame, most: int = 6) -> DataFrame:
     return asked.select("query_id", F.explode(search_terms(F.col("text"), most)).alias("term"))
 
 
-def bm25(docs: DataFrame, terms: DataFrame, key: str, n: int, exclude: DataFrame | None = None) -> DataFrame:
+def stemmed(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(words of the texts and queries with the stem of a query's term; query_id and stem). The texts' vocabulary is made
+    distinct and stemmed once, and only words that share a stem with a query stay."""
+    vocabulary = docs.select(F.explode(F.array_distinct(terms_of(F.col("content")))).alias("term"))
+    stems = stems_of(vocabulary.union(terms.select("term")))
+    asked = terms.join(stems, "term").select("query_id", "stem").distinct()
+    return stems.join(asked.select("stem").distinct(), "stem", "left_semi").select("term", "stem"), asked
+
+
+def bm25(docs: DataFrame, terms: DataFrame, key: str, n: int, exclude: DataFrame | None = None, stems: DataFrame | None = None) -> DataFrame:
     """The n best texts of each query; ties go to the smaller key. Texts in `exclude` (query_id, key) are no answers but
-    count in the corpus. The corpus sums are one small row."""
+    count in the corpus. With `stems` (term, stem), a text's words count as their stems, and `terms` are stems. The corpus
+    sums are one small row."""
     size = corpus_size(docs)
-    wanted = postings(docs, key, only=terms)
+    if stems is None:
+        wanted = postings(docs, key, only=terms)
+    else:
+        words = postings(docs, key, only=stems).join(stems, "term")
+        wanted = words.groupBy(key, "dl", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
     spread = wanted.groupBy("term").agg(F.count("*").alias("df"))
     scored = wanted.join(spread, "term").crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

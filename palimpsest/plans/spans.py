@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals
-from ..sources.episodes import table
+from ..functions.stems import stems_of, stems_sql
+from ..functions.text import NAMES_SQL, terms_of
+from ..operators import containment, intervals, search
+from ..sources.episodes import CITIES, EV_SQL, PEOPLE, TALK_SQL, event_episodes, table, talk_episodes
 from ..sources.tables import stored
+from .catalogue import POST_SQL, _docs, _names, _terms
 from .registry import query
 
 # Claims: the lines of a document. Spans: names for parts of it, of lengths from 1 to some thousand characters, each with a
@@ -59,3 +62,70 @@ def parcels_on_the_way(spark, d):
     quantity and last day."""
     rows = stored(parcels(spark, d), "parcels")
     return intervals.overlap_summary(rows.select("l_suppkey", "id", "start", "end").distinct(), rows, ["l_suppkey"], {"on_the_way": ("sum", "quantity"), "last_day": ("max", "end")})
+
+
+# ---- strings that texts contain -----------------------------------------------------------------------------
+
+
+@query("WITH p AS (SELECT item_id, trim(unnest(string_split(text, chr(10)))) AS pattern FROM benchmark), q AS (SELECT DISTINCT pattern FROM p WHERE length(pattern) >= 12) SELECT doc_id, pattern, contains(text, pattern) AS exact FROM documents JOIN q ON contains(lower(text), lower(pattern))")
+def contained_lines(spark, d):
+    """Documents that contain a line of a benchmark item, and whether in the same letters."""
+    lines = table(spark, d, "benchmark").select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.trim("line").alias("pattern"))
+    return containment.contained(table(spark, d, "documents"), lines.where(F.length("pattern") >= 12), ["doc_id"], "text")
+
+
+@query(f"WITH {EV_SQL}, {NAMES_SQL}, lost AS (SELECT DISTINCT thread_id, upper(name) AS name FROM nm WHERE seq % 10 = 0) SELECT e.thread_id, e.seq, count(*) AS names FROM ev e JOIN lost l ON l.thread_id = e.thread_id AND contains(lower(e.content), lower(l.name)) WHERE role = 'assistant' AND seq % 10 <> 0 GROUP BY 1, 2")
+def removal_echo_strings(spark, d):
+    """Assistant episodes that still contain, as a string in any case, a name of a removed episode (here: every tenth)."""
+    e = event_episodes(spark, d)
+    lost = _names(spark, d).where("seq % 10 = 0").select("thread_id", F.upper("name").alias("pattern")).distinct()
+    said = e.where("role = 'assistant' and seq % 10 <> 0")
+    return containment.contained(said, lost, ["thread_id", "seq"], within=["thread_id"]).groupBy("thread_id", "seq").agg(F.count("*").alias("names"))
+
+
+_KNOWN = [(n.split(" ")[-1], n) for n in (*PEOPLE, *CITIES) if " " in n] + [("Ada", "Ada Lovelace"), ("da", "Ada Lovelace"), ("da", "Omar Haddad"), ("Nobody", "Vera Lind")]
+
+
+@query(f"WITH {TALK_SQL}, known(alias, name) AS (VALUES {', '.join(repr(k) for k in _KNOWN)}), t AS (SELECT DISTINCT thread_id FROM talk), p AS (SELECT DISTINCT thread_id, alias, name FROM t, known WHERE EXISTS (SELECT 1 FROM talk x WHERE x.thread_id = t.thread_id AND x.role = 'user' AND contains(lower(x.content), lower(alias))) AND EXISTS (SELECT 1 FROM talk x WHERE x.thread_id = t.thread_id AND x.role = 'user' AND contains(lower(x.content), lower(name)))), s AS (SELECT thread_id, alias FROM p GROUP BY 1, 2 HAVING count(DISTINCT name) = 1) SELECT thread_id, alias, name FROM p JOIN s USING (thread_id, alias)")
+def alias_strings(spark, d):
+    """Aliases that a thread's user has written, for names that they have written, if they stand for one name only."""
+    said = talk_episodes(spark, d).where("role = 'user'")
+    known = spark.createDataFrame(_KNOWN, "alias string, name string")
+    strings = known.select(F.explode(F.array("alias", "name")).alias("pattern")).distinct()
+    hits = containment.contained(said, strings, ["thread_id", "seq"])
+    proposed = said.select("thread_id").distinct().join(F.broadcast(known))  # a list of a dozen
+    return containment.aliases(proposed, hits)
+
+
+# ---- stems ----------------------------------------------------------------------------------------------------
+
+_VOCABULARY = "words AS (SELECT DISTINCT term FROM post UNION SELECT term FROM terms)"
+
+
+@query(f"WITH {POST_SQL}, words AS (SELECT DISTINCT term FROM post), {stems_sql('words')} SELECT term, stem FROM stems")
+def vocabulary_stems(spark, d):
+    """The stem of every word of the documents."""
+    return stems_of(_docs(spark, d).select(F.explode(F.array_distinct(terms_of(F.col("content")))).alias("term")))
+
+
+_SCORE = "round(sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / a))), 6)"
+STEM_SQL = f"""{POST_SQL}, {_VOCABULARY}, {stems_sql('words')}, size AS (SELECT count(*) AS n, avg(dl) AS a FROM (SELECT DISTINCT doc_id, dl FROM post)),
+asked AS (SELECT DISTINCT query_id, stem FROM terms JOIN stems USING (term)), spost AS (SELECT doc_id, dl, stem, sum(tf) AS tf FROM post JOIN stems USING (term) GROUP BY 1, 2, 3), df AS (SELECT stem, count(*) AS df FROM spost GROUP BY 1),
+s AS (SELECT query_id, doc_id, {_SCORE} AS score, count(*) AS matched FROM asked JOIN spost USING (stem) JOIN df USING (stem), size GROUP BY 1, 2)"""
+_RANK = "SELECT query_id, doc_id, score, matched, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s{}) WHERE rank <= 10"
+
+
+@query(f"WITH {STEM_SQL} {_RANK.format('')}")
+def stemmed_bm25_topk(spark, d):
+    """The ten best documents of each query, by stems."""
+    stems, asked = search.stemmed(_docs(spark, d), _terms(spark, d))
+    return search.bm25(_docs(spark, d), asked.withColumnRenamed("stem", "term"), "doc_id", 10, stems=stored(stems, "stems"))
+
+
+@query(f"WITH {STEM_SQL} {_RANK.format(' WHERE doc_id % 3 <> query_id % 3')}")
+def stemmed_bm25_excluded(spark, d):
+    """The same without documents that a query has seen (here: those with its remainder of 3), which still count."""
+    docs = _docs(spark, d)
+    stems, asked = search.stemmed(docs, _terms(spark, d))
+    seen = asked.select("query_id").distinct().join(docs.select("doc_id", (F.col("doc_id") % 3).alias("r")), F.col("query_id") % 3 == F.col("r")).select("query_id", "doc_id")
+    return search.bm25(docs, asked.withColumnRenamed("stem", "term"), "doc_id", 10, exclude=seen, stems=stored(stems, "stems"))

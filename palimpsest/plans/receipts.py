@@ -9,6 +9,7 @@ from ..functions import names
 from ..functions.text import approx_tokens, coverage_status, sentences, sentences_sql
 from ..operators import archive, evidence, receipts
 from ..sources.episodes import TALK_SQL, table, talk_episodes
+from ..sources.tables import stored
 from .capsules import LINES_SQL, SPAN, talk_lines
 from .extraction import COMMIT_SQL, talk_facts
 from .registry import TOKENS, query
@@ -30,19 +31,23 @@ def collection_questions(spark, d):
     return _collections(spark, d).select("question_id", *receipts.collection(F.col("text")))
 
 
-@query(f"WITH RECURSIVE {COMMIT_SQL}, {QU_SQL}, c AS (SELECT question_id, thread_id, query_seq, {receipts.collection_sql('text')} FROM qu), w AS (SELECT * FROM c WHERE cue IS NOT NULL),"
-    """ loc AS (SELECT w.question_id, f.valid_from AS source_seq, CASE WHEN phase = 'HISTORICAL' AND authority = 'user' THEN 2 WHEN phase = 'SUPPORTED' AND authority = 'user' THEN 3 ELSE 1 END AS r FROM w JOIN fact f USING (thread_id) WHERE instr(f.key, 'budget') > 0 AND f.valid_from < query_seq
-  UNION ALL SELECT w.question_id, t.seq, 0 FROM w JOIN talk t USING (thread_id) WHERE instr(t.content, 'budget') > 0 AND t.event_id % 3 = 0 AND NOT t.removed AND t.seq < query_seq AND t.role NOT IN ('system', 'handoff')),
+_WORDS = "list_distinct(list_transform(regexp_extract_all(lower({}), '([\\p{{L}}\\p{{N}}]+)', 1), lambda x: regexp_replace(x, 's$', '')))"
+
+
+@query(f"WITH RECURSIVE {COMMIT_SQL}, {QU_SQL}, c AS (SELECT question_id, thread_id, query_seq, {receipts.collection_sql('text')} FROM qu), w AS (SELECT *, {_WORDS.format('subject')} AS words FROM c WHERE cue IS NOT NULL), fw AS (SELECT *, {_WORDS.format('key')} AS there FROM fact), tw AS (SELECT *, {_WORDS.format('content')} AS there FROM talk),"
+    """ loc AS (SELECT w.question_id, f.valid_from AS source_seq, CASE WHEN phase = 'HISTORICAL' AND authority = 'user' THEN 2 WHEN phase = 'SUPPORTED' AND authority = 'user' THEN 3 ELSE 1 END AS r FROM w JOIN fw f USING (thread_id) WHERE len(words) > 0 AND list_has_all(there, words) AND f.valid_from < query_seq
+  UNION ALL SELECT w.question_id, t.seq, 0 FROM w JOIN tw t USING (thread_id) WHERE len(words) > 0 AND list_has_all(there, words) AND t.event_id % 3 = 0 AND NOT t.removed AND t.seq < query_seq AND t.role NOT IN ('system', 'handoff')),
 pl AS (SELECT question_id, source_seq, max(r) AS r FROM loc GROUP BY 1, 2), n AS (SELECT question_id, count(*) FILTER (r = 3) AS s, count(*) FILTER (r = 2) AS h, count(*) FILTER (r = 1) AS p, count(*) FILTER (r = 0) AS u FROM pl GROUP BY 1),
 z AS (SELECT w.question_id, required, coalesce(s, 0) AS supported, coalesce(h, 0) AS historical, coalesce(s, 0) + coalesce(h, 0) + coalesce(p, 0) AS located, greatest(coalesce(u, 0), coalesce(required, 0) - coalesce(s, 0)) AS unresolved FROM w LEFT JOIN n USING (question_id))
 SELECT *, coalesce(located = required AND supported = required AND historical = 0 AND unresolved = 0, false) AS complete, concat_ws(',', CASE WHEN required IS NULL THEN 'unknown-cardinality' END, CASE WHEN unresolved > 0 THEN 'unresolved' END, CASE WHEN historical > 0 THEN 'historical' END, CASE WHEN required IS NOT NULL AND located > required THEN 'surplus' END) AS issues FROM z""")
 def collection_receipts(spark, d):
-    """Coverage of each thread's collection question, from the facts that it is about and what a search finds."""
-    q = talk_questions(spark, d).select("question_id", "thread_id", "query_seq", *receipts.collection(F.col("text"))).where("cue is not null")
-    known = talk_facts(spark, d).where(F.contains("key", F.lit("budget"))).join(q.select("question_id", "thread_id", "query_seq"), "thread_id").where("valid_from < query_seq")
-    one = known.select("question_id", F.col("valid_from").alias("source_seq"), coverage_status(F.col("phase"), F.col("authority")).alias("status"))
-    found = talk_episodes(spark, d).where(F.contains("content", F.lit("budget"))).where("event_id % 3 = 0 and not removed and role not in ('system', 'handoff')").join(q.select("question_id", "thread_id", "query_seq"), "thread_id").where("seq < query_seq")
-    return receipts.collection_receipt(q, one.union(found.select("question_id", F.col("seq").alias("source_seq"), F.lit("unresolved").alias("status"))))
+    """Coverage of each collection question, from the facts and the episodes before it that have all words of its subject."""
+    q = stored(talk_questions(spark, d).select("question_id", "thread_id", "query_seq", *receipts.collection(F.col("text"))).where("cue is not null"), "questions")
+    known = talk_facts(spark, d).select("thread_id", F.col("valid_from").alias("source_seq"), F.col("key").alias("text"), coverage_status(F.col("phase"), F.col("authority")).alias("status"))
+    found = talk_episodes(spark, d).where("event_id % 3 = 0 and not removed and role not in ('system', 'handoff')").select("thread_id", F.col("seq").alias("source_seq"), F.col("content").alias("text"))
+    one = receipts.covering(q, known).select("question_id", "source_seq", "status")
+    two = receipts.covering(q, found).select("question_id", "source_seq", F.lit("unresolved").alias("status"))
+    return receipts.collection_receipt(q, one.union(two))
 
 
 @query(f"WITH {TALK_SQL}, w AS (SELECT thread_id, seq, CASE event_id % 4 WHEN 0 THEN 'There are ' WHEN 1 THEN 'Exactly ' WHEN 2 THEN 'All ' ELSE 'Some ' END || CAST(event_id % 50 AS VARCHAR) || ' notes were found. ' || content AS text FROM talk) SELECT thread_id, seq, {receipts.safe_wording_sql('text')} AS text FROM w")

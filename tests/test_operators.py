@@ -3,7 +3,7 @@
 import pyspark.sql.functions as F
 
 from palimpsest.functions.text import search_terms, slug
-from palimpsest.operators import archive, atomize, budget, capsules, evidence, facts
+from palimpsest.operators import archive, atomize, budget, capsules, evidence, facts, receipts
 from palimpsest.plans.catalogue import SPAN
 from palimpsest.sources.episodes import event_episodes
 from palimpsest.streaming import incremental
@@ -270,3 +270,34 @@ def test_a_long_thread_of_leaves_is_one_stream(spark):
     out = capsules.sequential_root(leaves, capsules.newest(4))
     assert out.count() == 400_000 - 6
     assert [r["line"] for r in out.where("root = 99999").orderBy("ordinal").collect()] == ["line 49", "line 48", "line 47", "line 46"]
+
+
+def test_collections_by_words(spark):
+    cases = [
+        ("List all 12 open notes of the archive", ("list", 12, "open")),
+        ("Compare every one of the three red budgets: really all 9?", ("compare", 3, "red budgets")),
+        ("Please list the owners of boats in the conversation", ("list", None, "boats")),
+        ("I saw 7 notes, each on rain", ("each", 7, "on rain")),
+        ("all all", ("all", None, "")),
+        ("What is it?", (None, None, "")),
+        ("", (None, None, "")),
+        (None, (None, None, None)),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i long, t string").select("i", *receipts.collection(F.col("t")))
+    got = [(r["cue"], r["required"], r["subject"]) for r in df.orderBy("i").collect()]
+    assert [g if g[0] else (*g[:2], w[2]) for g, (_, w) in zip(got, cases)] == [w for _, w in cases]
+
+
+def test_covering_needs_all_words_before_the_question(spark):
+    q = spark.createDataFrame([(1, 1, 10, "alpha budgets"), (2, 1, 10, ""), (3, 2, 10, "alpha")], "question_id long, thread_id long, query_seq long, subject string")
+    rows = spark.createDataFrame([(1, 2, "fact.alpha-budget"), (1, 3, "Budgets and alphas"), (1, 4, "alpha"), (1, 4, "budget"), (1, 11, "alpha budget"), (3, 1, "alpha budget")], "thread_id long, source_seq long, text string")
+    assert collected(receipts.covering(q, rows)) == [(1, 2), (1, 3)]
+
+
+def test_relations_and_wordings(spark):
+    said = ["Ada is not the owner of the Red Boat.", "Bruno does never own a kite", "Vera lived in Graz!", "The cat is in the hat", "Nothing here"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i long, t string").select("i", receipts.relation(F.col("t")).alias("r")).where("r is not null").select("i", "r.*")
+    assert collected(df) == [(0, "owner", "ada", "red boat", True), (1, "owner", "bruno", "kite", True), (2, "location", "vera", "graz", False), (3, "location", "cat", "hat", False)]
+    claims = ["All 4 red notes were found.", "There are 12 of them", "exactly 3", "Overall 3 were found"]
+    out = spark.createDataFrame([(i, t) for i, t in enumerate(claims)], "i long, t string").select("i", receipts.safe_wording(F.col("t")).alias("t"))
+    assert [t for _, t in collected(out)] == ["I found 4 red notes.", "I found 12 of them", "I found 3", "Overall 3 were found"]

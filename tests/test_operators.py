@@ -2,6 +2,7 @@
 
 import pyspark.sql.functions as F
 
+from palimpsest.functions import names
 from palimpsest.functions.text import search_terms, slug
 from palimpsest.operators import archive, atomize, budget, capsules, evidence, facts, receipts
 from palimpsest.plans.catalogue import SPAN
@@ -301,3 +302,13 @@ def test_relations_and_wordings(spark):
     claims = ["All 4 red notes were found.", "There are 12 of them", "exactly 3", "Overall 3 were found"]
     out = spark.createDataFrame([(i, t) for i, t in enumerate(claims)], "i long, t string").select("i", receipts.safe_wording(F.col("t")).alias("t"))
     assert [t for _, t in collected(out)] == ["I found 4 red notes.", "I found 12 of them", "I found 3", "Overall 3 were found"]
+
+
+def test_names_need_no_shuffle(spark):
+    e = _spoken(spark, ("user", "Ada Lovelace paid $40 for src/main.py on 3rd Mar 2024, \"a very fine day\" it was. It's 12 ms."), ("user", None))
+    found = names.name_places(e, ["thread_id", "seq"])
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    got = [(r["kind"], r["name"], r["start"]) for r in found.orderBy("start").collect()]
+    text = e.first()["content"]
+    want = [("entity", "ada lovelace", "Ada"), ("number", "40", "$40"), ("code", "src/main.py", "src"), ("date", "2024-03-03", "3rd"), ("quote", "a very fine day", '"a'), ("number", "12 ms", "12 ms")]
+    assert got == [(k, n, text.index(at)) for k, n, at in want]

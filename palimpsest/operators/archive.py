@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import approx_tokens, epistemic
+from ..sources.tables import stored
 
 GENESIS = "archive:"
 
@@ -114,9 +115,9 @@ def windows(episodes: DataFrame, span: int) -> DataFrame:
 
 
 def hierarchy(episodes: DataFrame, base: int, fan_out: int, levels: int) -> DataFrame:
-    """Sealed windows of all levels; level k has base * fan_out**k episodes. One pass over the episodes: upper levels
-    are sums of the leaves."""
-    leaves = windows(episodes, base).withColumn("level", F.lit(0))
+    """Sealed windows of all levels; level k has base * fan_out**k episodes. The episodes are read once, for the leaves, which
+    are written; upper levels are sums of these."""
+    leaves = stored(windows(episodes, base), "leaves").withColumn("level", F.lit(0))
     out, below = leaves, leaves
     for k in range(1, levels):
         above = below.groupBy("thread_id", F.floor(F.col("no") / fan_out).cast("long").alias("no")).agg(F.min("from_seq").alias("from_seq"), F.max("to_seq").alias("to_seq"), F.sum("episodes").alias("episodes"), F.sum("tokens").alias("tokens"), F.count("*").alias("_n"))

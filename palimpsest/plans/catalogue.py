@@ -60,9 +60,13 @@ def chain_links(spark, d):
     return archive.chained(conversation_episodes(spark, d)).select("thread_id", "seq", "hash")
 
 
-@query(CHAIN_SQL + " SELECT thread_id, count(*) AS links, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS broken, max_by(hash, seq) AS head_hash FROM fold WHERE seq > 0 GROUP BY 1")
+@query(CHAIN_SQL + " SELECT thread_id, count(*) AS links, count(*) FILTER (seq % 5 = 3) AS wrong, count(*) FILTER (seq % 7 = 4) AS broken, max_by(hash, seq) AS head_hash FROM fold WHERE seq > 0 AND seq % 7 <> 3 GROUP BY 1")
 def chain_verify(spark, d):
-    return archive.verify_chain(archive.chained(conversation_episodes(spark, d)))
+    """A chain with faults planted: every fifth record from the third was changed, every seventh link from the third is gone
+    (so that the next one is broken)."""
+    chain = archive.chained(conversation_episodes(spark, d))
+    changed = chain.withColumn("record", F.when(F.col("seq") % 5 == 3, F.concat("record", F.lit(" "))).otherwise(F.col("record")))
+    return archive.verify_chain(changed.where("seq % 7 <> 3"))
 
 
 @query(CHAIN_SQL + " SELECT a.thread_id, a.seq, max(b.seq) AS checkpoint_seq, max_by(b.hash, b.seq) AS checkpoint_hash FROM fold a LEFT JOIN fold b ON b.thread_id = a.thread_id AND b.seq > 0 AND b.seq % 4 = 0 AND b.seq <= a.seq WHERE a.seq > 0 GROUP BY 1, 2")
@@ -169,12 +173,13 @@ def lost_name_digest(spark, d):
     return ledger.digest(_losses(spark, d), view, 24)
 
 
-@query(ENTRIES_SQL + " SELECT thread_id, count(*) AS named, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS lost, count(*) FILTER (NOT kept AND NOT EXISTS (SELECT 1 FROM loss l WHERE l.thread_id = split.thread_id AND l.no = split.no AND l.name = split.name AND l.kind = split.kind)) AS missing FROM split GROUP BY 1")
+@query(ENTRIES_SQL + " SELECT thread_id, count(*) AS named, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS lost, count(*) FILTER (NOT kept AND NOT EXISTS (SELECT 1 FROM loss l WHERE l.thread_id = split.thread_id AND l.no = split.no AND l.name = split.name AND l.kind = split.kind AND l.seq % 13 <> 5)) AS missing FROM split GROUP BY 1")
 def ledger_completeness(spark, d):
-    """Every name of a sealed leaf is in its summary or in the ledger: `missing` counts those in neither."""
+    """Every name of a sealed leaf is in its summary or in the ledger: `missing` counts those in neither (here: every 13th
+    place was taken out of the ledger)."""
     entries = _entries(spark, d)
     shown = _names(spark, d).where((F.col("seq") - 1) % SPAN < 3).select("thread_id", F.floor((F.col("seq") - 1) / SPAN).cast("long").alias("no"), "name")
-    known = shown.union(_losses(spark, d).select("thread_id", "no", "name"))
+    known = shown.union(_losses(spark, d).where("seq % 13 <> 5").select("thread_id", "no", "name"))
     missing = entries.select("thread_id", "no", "name").join(known, ["thread_id", "no", "name"], "left_anti").groupBy("thread_id").agg(F.count("*").alias("missing"))
     rows = entries.groupBy("thread_id").agg(F.count("*").alias("named"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("lost"))
     return rows.join(missing, "thread_id", "left").withColumn("missing", F.coalesce("missing", F.lit(0)).cast("long"))
@@ -547,6 +552,6 @@ def page_names_capped(spark, d):
     return names.name_rows(table(spark, d, "pages"), ["page_id"], "html", 3)
 
 
-from . import capsules, extraction, measures, receipts, retrieval, spans, streams  # noqa: E402, F401  they register their queries
+from . import capsules, extraction, measures, packets, receipts, retrieval, spans, streams  # noqa: E402, F401  they register their queries
 
 __all__ = ["QUERIES", "SQL", "SPAN"]

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 RANK = {"supported": 3, "historical": 2, "proposed": 1, "unresolved": 0}
 
 
@@ -53,13 +55,13 @@ def echoes(names: DataFrame, targets: DataFrame, episodes: DataFrame) -> DataFra
 
 
 def attachment_spans(texts: DataFrame, key: str, chunk: int) -> DataFrame:
-    """Byte spans [from, to) of each text's UTF-8 bytes, of `chunk` bytes at most, with their digests."""
+    """Byte spans [from, to) of each text's UTF-8 bytes, of `chunk` bytes at most, with their digests. Spans are made where the
+    bytes are, and only places and digests are exploded."""
     data = F.encode("content", "UTF-8")
     rows = texts.select(key, data.alias("data")).withColumn("size", F.octet_length("data").cast("long")).where("size > 0")
-    each = rows.withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / chunk))))
-    start = F.col("ordinal") * chunk
-    part = F.substring(F.col("data"), (start + 1).cast("int"), F.lit(chunk))
-    return each.select(key, "ordinal", start.alias("from_byte"), F.least(start + chunk, F.col("size")).alias("to_byte"), F.sha2(part, 256).alias("hash"))
+    ordinals = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / chunk))
+    span = lambda i: F.struct(i.alias("ordinal"), (i * chunk).alias("from_byte"), F.least(i * chunk + chunk, F.col("size")).alias("to_byte"), F.sha2(F.substring(F.col("data"), (i * chunk + 1).cast("int"), F.lit(chunk)), 256).alias("hash"))
+    return rows.select(key, F.explode(F.transform(ordinals, span)).alias("s")).select(key, "s.*")
 
 
 def partition_gaps(spans: DataFrame, key: str) -> DataFrame:
@@ -73,25 +75,47 @@ def blobs(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("long").alias("size"), key).groupBy("hash", "size").agg(F.count("*").alias("refs"), F.min(key).alias("first_ref"))
 
 
+def reachable(references: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node) of all that can be reached from the roots (node) over references (parent, child), roots included: the mark
+    phase. Every round follows the references of what the last one found new, and ends when there is none; rounds are as many
+    as the longest chain, cycles end by themselves. Each round is written."""
+    edges = stored(references.select("parent", "child").where("parent is not null and child is not null").distinct(), "references")
+    front = stored(roots.select("node").where("node is not null").distinct(), "marked")
+    found = front
+    while True:
+        next_ = edges.join(front.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
+        front = stored(next_.join(found, "node", "left_anti"), "marked")
+        if front.isEmpty():
+            return found
+        found = found.union(front)
+
+
+def swept(blobs: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blobs that stay and are exported, blobs that go), by hash."""
+    keep = marked.select(F.col("node").alias("hash"))
+    return blobs.join(keep, "hash", "left_semi"), blobs.join(keep, "hash", "left_anti")
+
+
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def _packed(vectors: DataFrame, total: int, size: int) -> DataFrame:
-    """Rows of about `size` vectors each, dealt by hash."""
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-total // size))))
-    return vectors.groupBy(part.alias("part")).agg(F.collect_list(F.struct("vec_id", "x")).alias("rows")).select("rows")
+    """(dim, rows): rows of about `size` vectors of one length each, dealt by hash."""
+    part = F.pmod(F.xxhash64("vec_id", "x"), F.lit(max(1, -(-total // size))))
+    return vectors.groupBy(F.size("x").alias("dim"), part.alias("part")).agg(F.collect_list(F.struct("vec_id", "x")).alias("rows")).select("dim", "rows")
 
 
 def nearest(vectors: DataFrame, every: int, n: int, batch: int = 256, block: int = 4096) -> DataFrame:
     """For each vector whose id is divisible by `every`, the n others with the largest cosine: a stated query set against
-    all rows, in blocks. Queries are packed by `batch`, vectors by `block`; each batch meets each block in one matrix
-    product, which puts out its best n for each query, and those are ranked once more."""
-    fine = F.col("embedding").isNotNull() & F.exists("embedding", lambda v: v != 0)
+    all rows, in blocks. Queries are packed by `batch`, vectors by `block`; each batch meets each block of its length in one
+    matrix product, which puts out its best n for each query, and those are ranked once more. Vectors that are null, zero or
+    hold null or non-finite components take no part, and vectors of different lengths aren't compared."""
+    fine = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     unit = vectors.where(fine).select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     total = unit.count()
     asked = _packed(unit.where(F.col("vec_id") % every == 0), max(1, total // every), batch).withColumnRenamed("rows", "queries")
-    pairs = _packed(unit, total, block).crossJoin(asked)
+    pairs = _packed(unit, total, block).join(asked, "dim").select("rows", "queries")
 
     def matrix(rows: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
         ids, x = rows.values.field(0).to_numpy(), rows.values.field(1)

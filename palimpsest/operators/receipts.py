@@ -208,10 +208,13 @@ def aligned_spans(texts: DataFrame, key: str, chunk: int) -> DataFrame:
     """Spans of a text's UTF-8 bytes, of `chunk` bytes at most, that cut no character, with the digest of each."""
     step = chunk - 3
     rows = texts.select(key, F.encode("content", "UTF-8").alias("data")).withColumn("size", F.octet_length("data").cast("long")).where("size > 0")
-    each = rows.withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / step))))
-    cut = each.withColumn("from_byte", _aligned("data", F.col("ordinal") * step)).withColumn("to_byte", F.when((F.col("ordinal") + 1) * step >= F.col("size"), F.col("size")).otherwise(_aligned("data", (F.col("ordinal") + 1) * step)))
-    part = F.substring(F.col("data"), (F.col("from_byte") + 1).cast("int"), (F.col("to_byte") - F.col("from_byte")).cast("int"))
-    return cut.where("to_byte > from_byte").select(key, "ordinal", "from_byte", "to_byte", F.sha2(part, 256).alias("hash"))
+    end = lambda i: F.when((i + 1) * step >= F.col("size"), F.col("size")).otherwise(_aligned("data", (i + 1) * step))
+    digest = lambda x: F.sha2(F.substring(F.col("data"), (x["from_byte"] + 1).cast("int"), (x["to_byte"] - x["from_byte"]).cast("int")), 256)
+    places = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / step)), lambda i: F.struct(i.alias("ordinal"), _aligned("data", i * step).alias("from_byte"), end(i).alias("to_byte")))
+    whole = F.filter(places, lambda x: x["to_byte"] > x["from_byte"])
+    # digests are made where the bytes are; only places and digests are exploded
+    cut = F.transform(whole, lambda x: F.struct(x["ordinal"].alias("ordinal"), x["from_byte"].alias("from_byte"), x["to_byte"].alias("to_byte"), digest(x).alias("hash")))
+    return rows.select(key, F.explode(cut).alias("s")).select(key, "s.*")
 
 
 def manifests(spans: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stems import stems_of, stems_sql
 from ..functions.text import NAMES_SQL, terms_of
-from ..operators import containment, intervals, search
+from ..operators import containment, evidence, intervals, search
 from ..sources.episodes import CITIES, EV_SQL, PEOPLE, TALK_SQL, event_episodes, table, talk_episodes
 from ..sources.tables import stored
 from .catalogue import POST_SQL, _docs, _names, _terms
@@ -129,3 +129,46 @@ def stemmed_bm25_excluded(spark, d):
     stems, asked = search.stemmed(docs, _terms(spark, d))
     seen = asked.select("query_id").distinct().join(docs.select("doc_id", (F.col("doc_id") % 3).alias("r")), F.col("query_id") % 3 == F.col("r")).select("query_id", "doc_id")
     return search.bm25(docs, asked.withColumnRenamed("stem", "term"), "doc_id", 10, exclude=seen, stems=stored(stems, "stems"))
+
+
+# ---- blobs ------------------------------------------------------------------------------------------------------
+
+# Threads attach documents; a document has a manifest, which names its chunks and, for every fourth one, the manifest of the
+# version before it. Threads whose number three divides are gone.
+BLOB_SQL = f"""{TALK_SQL}, chunk AS (SELECT doc_id, i, sha256(substr(text, i * 500 + 1, 500)) AS hash, CAST(strlen(substr(text, i * 500 + 1, 500)) AS BIGINT) AS size FROM (SELECT doc_id, text, unnest(generate_series(0, (length(text) - 1) // 500)) AS i FROM documents WHERE length(text) > 0)),
+manifest AS (SELECT doc_id, sha256('manifest ' || CAST(doc_id AS VARCHAR)) AS hash, count(*) AS n FROM chunk GROUP BY 1),
+attached AS (SELECT DISTINCT 'thread ' || CAST(thread_id AS VARCHAR) AS parent, m.hash AS child FROM talk t JOIN manifest m ON m.doc_id = t.event_id % 97 WHERE t.event_id % 5 = 0),
+refs AS (SELECT * FROM attached UNION SELECT m.hash, c.hash FROM manifest m JOIN chunk c USING (doc_id) UNION SELECT m.hash, o.hash FROM manifest m JOIN manifest o ON o.doc_id = m.doc_id // 2 WHERE m.doc_id % 4 = 0),
+blob AS (SELECT hash, max(size) AS size FROM (SELECT hash, size FROM chunk UNION ALL SELECT hash, n * 64 FROM manifest) GROUP BY 1),
+mark AS (SELECT DISTINCT 'thread ' || CAST(thread_id AS VARCHAR) AS node FROM talk WHERE thread_id % 3 <> 0 AND thread_id < 60 UNION SELECT child FROM mark JOIN refs ON parent = node)"""
+
+
+def blob_store(spark, d):
+    """(references, blobs, live threads) of the documents that threads attach."""
+    docs = table(spark, d, "documents").where(F.length("text") > 0)
+    part = lambda i: F.struct(i.alias("i"), F.substring(F.col("text"), (i * 500 + 1).cast("int"), F.lit(500)).alias("t"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 500).cast("int")), lambda i: F.struct(F.sha2(part(i)["t"], 256).alias("hash"), F.octet_length(part(i)["t"]).cast("long").alias("size")))
+    chunks = stored(docs.select("doc_id", F.explode(cut).alias("c")).select("doc_id", "c.*"), "chunks")
+    name = lambda c: F.sha2(F.concat(F.lit("manifest "), c.cast("string")), 256)
+    manifests = chunks.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("hash", name(F.col("doc_id")))
+    e = talk_episodes(spark, d)
+    node = F.concat(F.lit("thread "), F.col("thread_id").cast("string"))
+    attached = e.where("event_id % 5 = 0").select(node.alias("parent"), (F.col("event_id") % 97).alias("doc_id")).join(manifests.select("doc_id", F.col("hash").alias("child")), "doc_id").select("parent", "child")
+    older = manifests.where("doc_id % 4 = 0").select(F.col("hash").alias("parent"), F.floor(F.col("doc_id") / 2).cast("long").alias("doc_id")).join(manifests.select("doc_id", F.col("hash").alias("child")), "doc_id").select("parent", "child")
+    references = attached.union(chunks.select(name(F.col("doc_id")).alias("parent"), F.col("hash").alias("child"))).union(older)
+    blobs = chunks.select("hash", "size").union(manifests.select("hash", (F.col("n") * 64).alias("size"))).groupBy("hash").agg(F.max("size").alias("size"))
+    return references, stored(blobs, "blobs"), e.where("thread_id % 3 <> 0 and thread_id < 60").select(node.alias("node")).distinct()
+
+
+@query(f"WITH RECURSIVE {BLOB_SQL} SELECT hash, size FROM blob WHERE hash IN (SELECT node FROM mark)")
+def blobs_exported(spark, d):
+    """Blobs that the live threads reach over manifests, their chunks and older versions: what a bundle of them holds."""
+    references, blobs, live = blob_store(spark, d)
+    return evidence.swept(blobs, evidence.reachable(references, live))[0]
+
+
+@query(f"WITH RECURSIVE {BLOB_SQL} SELECT hash, size FROM blob WHERE hash NOT IN (SELECT node FROM mark)")
+def blobs_swept(spark, d):
+    """Blobs that nothing live reaches any more: what goes."""
+    references, blobs, live = blob_store(spark, d)
+    return evidence.swept(blobs, evidence.reachable(references, live))[1]

@@ -312,3 +312,19 @@ def test_names_need_no_shuffle(spark):
     text = e.first()["content"]
     want = [("entity", "ada lovelace", "Ada"), ("number", "40", "$40"), ("code", "src/main.py", "src"), ("date", "2024-03-03", "3rd"), ("quote", "a very fine day", '"a'), ("number", "12 ms", "12 ms")]
     assert got == [(k, n, text.index(at)) for k, n, at in want]
+
+
+def test_mark_and_sweep(spark):
+    edges = [("r", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("r", "a"), (None, "z"), ("z", None)]
+    marked = evidence.reachable(spark.createDataFrame(edges, "parent string, child string"), spark.createDataFrame([("r",), ("r",), (None,)], "node string"))
+    assert collected(marked) == [("a",), ("b",), ("c",), ("r",)]
+    blobs = spark.createDataFrame([(h, 1) for h in "abcxyz"], "hash string, size long")
+    stay, go = evidence.swept(blobs, marked)
+    assert collected(stay.select("hash")) == [("a",), ("b",), ("c",)] and collected(go.select("hash")) == [("x",), ("y",), ("z",)]
+    assert evidence.reachable(spark.createDataFrame([], "parent string, child string"), spark.createDataFrame([], "node string")).count() == 0
+
+
+def test_nearest_of_mixed_vectors(spark):
+    rows = [(100, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [float("inf"), 1.0]), (200, [1.0, 0.1, 0.0]), (None, [1.0, 0.0])]
+    out = evidence.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 100, 2)
+    assert [(q, r, v) for q, r, v, _ in collected(out)] == [(100, 1, 1), (100, 2, 2), (200, 1, 3)]

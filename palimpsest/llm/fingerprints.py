@@ -53,7 +53,10 @@ def signatures(column: pa.Array, samples: int = SAMPLES) -> np.ndarray:
     weight = np.diff(np.append(at, len(key)))
     term, row = key[at] & _U((1 << 44) - 1), (key[at] >> _U(44)).astype(np.int64)
     # a (term, weight) pair is drawn once for the slice; documents then only take minima over rows
-    _, one, inverse = np.unique((term << _U(20)) | np.minimum(weight, (1 << 20) - 1).astype(np.uint64), return_index=True, return_inverse=True)
+    order = np.lexsort((weight, term))
+    new = np.append(True, (term[order][1:] != term[order][:-1]) | (weight[order][1:] != weight[order][:-1]))
+    one, inverse = order[new], np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
     bound = np.searchsorted(row, np.arange(rows + 1))
     log_a, label = np.empty((len(one), samples), np.float32), np.empty((len(one), samples), np.uint32)
     keys = mix(term)

@@ -70,3 +70,12 @@ def test_query_equals_the_library(spark):
     for i, j in zip(order, order[1:] + order[:1]):
         a, q = texts[i], len(texts[i]) // 4
         assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(a), hashlib.sha256((a[: len(a) - q] + texts[j][:q]).encode()).hexdigest())
+
+
+def test_large_weights_are_told_apart():
+    """A term that occurs a million times or more has draws of its own weight, beside others of the slice as well as alone."""
+    many = ["x " * n for n in ((1 << 20) - 1, 1 << 20, 3 << 20)]
+    together = fingerprints.signatures(pa.array(many), 512)
+    alone = [fingerprints.signatures(pa.array([t]), 512)[0] for t in many]
+    assert (together == np.stack(alone)).all()
+    assert fingerprints.likeness(together[1:2], together[2:])[0] < 0.6  # generalised Jaccard: a third

@@ -342,7 +342,8 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     )
     by_doc = written(by_doc, "segment-places")
     wanted = by_doc.where(F.size("some") + F.size("many") > 0)
-    both = _packed(docs).join(wanted.select("at", F.concat("some", "many").alias("places")), "at")
+    # one row of each repeated one: its segments would only meet themselves
+    both = _packed(docs).join(wanted.select("at", F.concat("some", "many").alias("places")), "at").dropDuplicates(["at"])
     pieces = written(both.select("at", "packed", "places").mapInArrow(_cut(length), "at long, lo long, anchor long, span long, bytes binary"), "segments")
     large = contents.where(F.col("kinds") > large_group).select("anchor").distinct()
     few = pieces.join(large, "anchor", "left_anti").select("at", "lo", "anchor", "span", "bytes")

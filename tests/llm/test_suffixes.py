@@ -69,3 +69,19 @@ def test_query_equals_brute_force(spark):
     want = dict(zip([r["doc_id"] for r in rows], brute([(r["text"] or "").encode() for r in rows], 200)))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.op2_suffix_array_dedup(spark, folder).collect()}
     assert got == want
+
+
+def test_intervals_of_repeated_rows_do_not_grow(spark):
+    """However often a row is repeated beside one that shares half of it, its intervals are those of one row."""
+    rng = np.random.default_rng(21)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    one, half = word(900), word(450)
+    counts = []
+    for n in (2, 40, 160):
+        rows = [(7, half + one)] * n + [(8, half + word(450))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        at = docs.selectExpr("xxhash64(doc_id, text) AS at", "text")
+        counts.append(suffixes.repeated_intervals(at).count())
+        out = suffixes.remove_repeats(docs).select("doc_id", "n_removed").distinct().collect()
+        assert sorted(map(tuple, out)) == [(7, 1350), (8, 450)]
+    assert counts[0] == counts[1] == counts[2]

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_hash
 from ..operators import archive, atomize
 from ..sources.episodes import CONV_SQL, conversation_episodes, table, talk_episodes
 from ..sources.tables import shared_folder, stored
@@ -103,3 +104,14 @@ def chain_segments_verified(spark, d):
     record = F.when(F.col("seq") % 7 == 5, F.concat("record", F.lit(" "))).otherwise(F.col("record"))
     prev = F.when((F.col("seq") % 11 == 6) & (F.col("seq") > 1), F.lit("0")).otherwise(F.col("prev_hash"))
     return archive.verify_from(chain.withColumns({"record": record, "prev_hash": prev}), marks)
+
+
+@query("""SELECT event_id, sha256('{"meta":{"k":' || json_extract_string(props, '$.k') || ',"tags":[1,2.5,true,null]},"type":"' || event_type || '","user":' || CAST(user_id AS VARCHAR) || '}') AS hash, true AS same FROM events""")
+def canonical_digests(spark, d):
+    """Digests of events as JSON, written in two orders of keys with other spaces, numbers and escapes: both are the same."""
+    e = table(spark, d, "events")
+    user, inner = F.col("user_id").cast("string"), F.regexp_extract("props", r"\{(.*)\}", 1)
+    one = F.concat(F.lit('{"user": '), user, F.lit('.0, "type": "'), "event_type", F.lit('", "meta": {"tags": [1, 2.50, true, null], '), inner, F.lit("}}"))
+    two = F.concat(F.lit('{ "meta" : { '), inner, F.lit(' ,"tags":[ 1.0,25e-1,true,null ]}, "\\u0074ype":"'), "event_type", F.lit('","user":'), user, F.lit(" }"))
+    rows = e.select("event_id", canonical_hash(one).alias("hash"), canonical_hash(two).alias("other"))
+    return rows.select("event_id", "hash", (F.col("hash") == F.col("other")).alias("same"))

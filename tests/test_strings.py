@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from palimpsest.functions import stems
+import pyspark.sql.functions as F
+
+from palimpsest.functions import canonical, stems
 from palimpsest.operators import containment, search
 
 KNOWN = {
@@ -47,3 +49,14 @@ def test_containment_equals_brute_force(spark, monkeypatch, block):
     own = sorted((a, b, s, e) for a, b, s, e in want if (a, s) in set(patterns))
     assert sorted(map(tuple, containment.contained(t, p, ["thread_id", "seq"], within=["thread_id"]).collect())) == own
     assert containment.contained(t, p.limit(0), ["thread_id", "seq"]).count() == 0 and containment.contained(t.limit(0), p, ["thread_id", "seq"]).count() == 0
+
+
+def test_canonical_forms(spark):
+    cases = {
+        '{"b": 1, "a": {"d": [1.0, 2.5e0, -0.0], "c": null}}': '{"a":{"c":null,"d":[1,2.5,0]},"b":1}',
+        '"é"': '"é"', "1e-7": "1e-7", "1.5E+30": "1.5e+30", "123456789012345678901": "123456789012345678901", " [ ] ": "[]", '{"\\u0061":"\\n"}': '{"a":"\\n"}',
+        '{"a":1,"a":2}': None, "{": None, "": None, "NaN": None, "1e999": None, "[" * 100_000: None,
+    }
+    assert {k: canonical.canonical_text(k) for k in cases} == cases
+    df = spark.createDataFrame([(1, "ＡＢＣ　ﬁne\tＸ "), (2, None), (3, "")], "i long, t string").select("i", canonical.folded(F.col("t")).alias("t"), canonical.canonical_json(F.col("t")).alias("j"))
+    assert sorted(map(tuple, df.collect())) == [(1, "abc fine x", None), (2, None, None), (3, "", None)]

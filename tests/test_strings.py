@@ -1,8 +1,7 @@
 import random
 
-import pytest
-
 import pyspark.sql.functions as F
+import pytest
 
 from palimpsest.functions import canonical, stems
 from palimpsest.operators import containment, search

@@ -552,6 +552,6 @@ def page_names_capped(spark, d):
     return names.name_rows(table(spark, d, "pages"), ["page_id"], "html", 3)
 
 
-from . import capsules, extraction, measures, packets, receipts, replays, retrieval, spans, streams  # noqa: E402, F401  they register their queries
+from . import capsules, drafts, extraction, measures, packets, receipts, replays, retrieval, spans, streams  # noqa: E402, F401  they register their queries
 
 __all__ = ["QUERIES", "SQL", "SPAN"]

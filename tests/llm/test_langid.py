@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import langid
+from palimpsest.llm import _text, langid
 
 SYLLABLES = {"aa": "ka lo mi nu te sha", "bb": "qué ñan zor ix pl tre", "cc": "öst ßen wür ag ck dt"}
 
@@ -107,3 +108,49 @@ def test_query_equals_the_library(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items())
     held = [i for i, r in rows.items() if r["held_out"] and docs[i]["lang"] and any(c.isalpha() for c in docs[i]["text"] or "")]
     assert np.mean([rows[i]["lang_pred"] == docs[i]["lang"] for i in held]) > 0.9
+
+
+def plain_prediction(text, model):
+    """(language, score) from the definition, word by word: means over a word's features, then over words; softmax."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def code(part):
+        total, power = 0, 1
+        for byte in part:
+            total, power = total + int(_text._TABLE[byte]) * power, power * _text._BASE & mask
+        return mix((total + len(part) * 0xD6E8FEB86659FD93) & mask)
+
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())  # bytes.lower changes A-Z only
+    z = np.zeros(len(model.langs))
+    for word in words:
+        buckets = [code(word) >> 48]
+        for n in langid.GRAMS:
+            for i in range(len(word) - n + 1):
+                buckets.append(mix((code(word[i : i + n]) + (i == 0) + 2 * (i + n == len(word))) & mask) >> 48)
+        z += model.logits[buckets].astype(float).mean(axis=0)
+    z = (z / max(1, len(words)) + model.bias) / model.temperature
+    p = np.exp(z - z.max())
+    p = (1 - model.doubt) * p / p.sum() + model.doubt / len(p)
+    return model.langs[int(p.argmax())], float(p.max())
+
+
+def test_query_against_plain_evaluation(spark):
+    """All rows of the query against the same model evaluated plainly."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = langid.train(docs.where(~langid.held_out("doc_id", 5, 0)))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = langid.op7_language_id(spark, folder).collect()
+    assert len(rows) == docs.count() > 100
+    for r in rows:
+        text = texts[r["doc_id"]]
+        if text is None or not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        lang, score = plain_prediction(text, model)
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-6, r

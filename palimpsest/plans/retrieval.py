@@ -111,13 +111,15 @@ def routes_closed_by_removal(spark, d):
     return witnesses.join(gone, ["thread_id", "witness"], "left_semi").select("edge_id", "thread_id").distinct()
 
 
-@query(f"WITH {TALK_SQL}, {QU_SQL}, h AS (SELECT q.question_id, t.thread_id, CASE WHEN t.event_id % 29 = 0 THEN q.query_seq ELSE t.seq END AS seq, CASE WHEN t.event_id % 3 = 0 THEN 'no such words' ELSE substr(t.content, 3, 8) END AS quote, t.event_id % 97 AS score FROM talk t JOIN qu q USING (thread_id) WHERE t.event_id % 4 = 1) SELECT h.question_id, h.thread_id, h.seq, h.score, CASE WHEN t.role IS NULL THEN 'missing' WHEN t.removed THEN 'removed' WHEN h.seq >= q.query_seq THEN 'self' WHEN instr(t.content, h.quote) = 0 THEN 'quote' END AS refused FROM h LEFT JOIN qu q USING (question_id) LEFT JOIN talk t ON t.thread_id = h.thread_id AND t.seq = h.seq")
+@query(f"WITH {TALK_SQL}, {QU_SQL}, h AS (SELECT q.question_id, t.thread_id, CASE WHEN t.event_id % 29 = 0 THEN q.query_seq ELSE t.seq END AS seq, CASE WHEN t.event_id % 3 = 0 THEN 'no such words' ELSE substr(t.content, 3, 8) END AS quote, t.event_id % 97 AS score FROM talk t JOIN qu q USING (thread_id) WHERE t.event_id % 4 = 1) SELECT h.question_id, h.thread_id, h.seq, h.score, CASE WHEN t.role IS NULL THEN 'missing' WHEN t.removed THEN 'removed' WHEN t.event_id % 31 = 0 THEN 'role' WHEN h.seq >= q.query_seq THEN 'self' WHEN instr(t.content, h.quote) = 0 THEN 'quote' END AS refused FROM h LEFT JOIN qu q USING (question_id) LEFT JOIN talk t ON t.thread_id = h.thread_id AND t.seq = h.seq")
 def semantic_hits(spark, d):
-    """Hits given as data, each with the reason for refusing it: missing, removed, the question itself, misquoted."""
+    """Hits given as data, each with the reason for refusing it: missing, removed, said by nobody who may be quoted, the
+    question itself, misquoted. Some turns are those of a system here."""
     q = talk_questions(spark, d)
-    h = talk_episodes(spark, d).where("event_id % 4 = 1").join(q.select("thread_id", "question_id", "query_seq"), "thread_id")
+    e = talk_episodes(spark, d).withColumn("role", F.when(F.col("event_id") % 31 == 0, "system").otherwise(F.col("role")))
+    h = e.where("event_id % 4 = 1").join(q.select("thread_id", "question_id", "query_seq"), "thread_id")
     hits = h.select("question_id", "thread_id", F.when(F.col("event_id") % 29 == 0, F.col("query_seq")).otherwise(F.col("seq")).alias("seq"), F.when(F.col("event_id") % 3 == 0, "no such words").otherwise(F.substring("content", 3, 8)).alias("quote"), (F.col("event_id") % 97).alias("score"))
-    return routes.verified_hits(hits, talk_episodes(spark, d), q)
+    return routes.verified_hits(hits, e, q)
 
 
 FACT_ROUTES = COMMIT_SQL + f""", revoked AS (SELECT thread_id, seq FROM talk WHERE removed), unread AS (SELECT thread_id, seq FROM talk WHERE event_id % 17 = 0),

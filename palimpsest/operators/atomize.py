@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import authority, collapsed, sentences, sentences_sql, slug, slug_sql
+from ..functions.text import as_in_sql, authority, collapsed, lowered, sentences, sentences_sql, slug, slug_sql
 from ..sources.tables import stored
 
 SPOKEN = ("user", "assistant")
@@ -111,15 +111,15 @@ def _draft(rule: str | Column, kind: str, key: Column, value: Column, confidence
 
 
 def _undotted(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\s.]+$", "")
+    return F.regexp_replace(text, as_in_sql(r"[\s.]+$"), "")
 
 
 def _name(text: Column) -> Column:
-    return F.regexp_extract(text, f"^({NAME})", 1)
+    return F.regexp_extract(text, as_in_sql(f"^({NAME})"), 1)
 
 
 def _words(text: Column) -> Column:
-    return F.size(F.split(text, r"\s+"))
+    return F.size(F.split(text, as_in_sql(r"\s+")))
 
 
 def shaped(rule: Rule, probe: Column, rest: Column, before: Column) -> Column:
@@ -131,19 +131,19 @@ def shaped(rule: Rule, probe: Column, rest: Column, before: Column) -> Column:
         return F.when(F.length(value) >= 2, _draft(rule.name, rule.kind, F.lit(rule.key), value, rule.confidence))
     if rule.shape == "person":
         key = F.concat(F.lit("person."), slug(before, rule.words), F.lit(rule.key))
-        fine = (F.length(before) >= 2) & (F.length(rest) >= 2) & ~F.lower(before).isin(*PRONOUNS)
+        fine = (F.length(before) >= 2) & (F.length(rest) >= 2) & ~lowered(before).isin(*PRONOUNS)
         return F.when(fine, _draft(rule.name, rule.kind, key, rest, rule.confidence))
     whole = (clause != "") & (_words(clause) <= rule.most)
     if rule.shape == "clause":
-        value = clause if rule.name != "rule" else F.concat(F.when(probe.rlike(opening(NEGATIVE)), "never: ").otherwise(""), clause)
+        value = clause if rule.name != "rule" else F.concat(F.when(probe.rlike(as_in_sql(opening(NEGATIVE))), "never: ").otherwise(""), clause)
         return F.when(whole, _draft(rule.name, rule.kind, prefix(clause), value, rule.confidence))
-    one, two = (F.regexp_extract(clause, SPLIT["copula" if rule.shape == "memory" else rule.shape], i) for i in (1, 2))
+    one, two = (F.regexp_extract(clause, as_in_sql(SPLIT["copula" if rule.shape == "memory" else rule.shape]), i) for i in (1, 2))
     if rule.shape == "memory":
         said = F.length(slug(one, rule.words)) >= 2
         return F.when(whole, _draft(rule.name, rule.kind, F.when(said, prefix(one)).otherwise(prefix(clause)), F.when(said, two).otherwise(clause), F.when(said, 1.0).otherwise(0.9)))
     if rule.shape == "purpose":
         return F.when(whole & (F.length(slug(two, rule.words)) >= 2), _draft(rule.name, rule.kind, prefix(two), one, rule.confidence))
-    value = F.regexp_replace(two, LEADS[rule.shape], "")
+    value = F.regexp_replace(two, as_in_sql(LEADS[rule.shape]), "")
     if rule.shape == "copula":
         return F.when(whole & value.rlike(STATED) & (F.length(slug(one, rule.words)) >= 3), _draft(rule.name, rule.kind, prefix(one), value, rule.confidence))
     return F.when(whole & (value != ""), _draft(rule.name, rule.kind, prefix(value), value, rule.confidence, one))
@@ -155,12 +155,13 @@ def drafts(episodes: DataFrame) -> DataFrame:
     spoken = episodes.where(F.col("role").isin(*SPOKEN)).select("thread_id", "seq", "role", F.posexplode(sentences(F.col("content"))).alias("sentence", "s"))
     colon = F.instr("s", ": ")
     behind = F.when((colon > 1) & (colon < F.length("s") - 4), F.substring("s", colon + 2, F.length("s")))
-    fixed = F.when(F.col("s").rlike(opening(CORRECTING)), F.regexp_extract("s", opening(CORRECTING), 1))
+    correcting = as_in_sql(opening(CORRECTING))
+    fixed = F.when(F.col("s").rlike(correcting), F.regexp_extract("s", correcting, 1))
     probes = spoken.select("thread_id", "seq", "role", "sentence", F.posexplode(F.array(F.col("s"), behind, fixed)).alias("probe", "text")).where("text is not null")
     # each pattern runs once: what it finds is a column, and shapes read that column
     at = {r.name: i for i, r in enumerate(RULES)}
-    rests = F.array(*[F.regexp_extract("text", r.find, 2 if r.stands == "between" else 1) for r in RULES])
-    befores = F.array(*[F.regexp_extract("text", r.find, 1) if r.stands == "between" else F.lit("") for r in RULES])
+    rests = F.array(*[F.regexp_extract("text", as_in_sql(r.find), 2 if r.stands == "between" else 1) for r in RULES])
+    befores = F.array(*[F.regexp_extract("text", as_in_sql(r.find), 1) if r.stands == "between" else F.lit("") for r in RULES])
     probes = probes.withColumns({"rests": rests, "befores": befores})
     one = lambda r: F.when((F.get("rests", F.lit(at[r.name])) != "") & F.col("role").isin(*r.roles), shaped(r, F.col("text"), F.get("rests", F.lit(at[r.name])), F.get("befores", F.lit(at[r.name]))))
     found = F.filter(F.array(*[one(r) for r in RULES]), lambda x: x.isNotNull())

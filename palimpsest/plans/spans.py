@@ -43,7 +43,7 @@ def overlapping_spans(spark, d):
 @query(f'''WITH {CLAIM_SQL}, j AS (SELECT c.doc_id, c.id, count(s.id) AS "overlaps", count(DISTINCT s.phase) AS phases, min(s.phase) AS phase FROM claim c LEFT JOIN span s ON s.doc_id = c.doc_id AND c.start < s.end_ AND s.start < c.end_ AND c.start < c.end_ GROUP BY 1, 2) SELECT doc_id, id, "overlaps", CASE WHEN phases = 1 THEN phase END AS phase FROM j''')
 def overlap_phase(spark, d):
     """The phase of each line: that of all spans it overlaps, if they agree. No pairs are made."""
-    found = intervals.overlap_summary(stored(claims(spark, d), "claims"), stored(spans(spark, d), "spans"), ["doc_id"], {"low": ("min", "phase"), "high": ("max", "phase")})
+    found = intervals.overlap_summary(claims(spark, d), spans(spark, d), ["doc_id"], {"low": ("min", "phase"), "high": ("max", "phase")})
     return found.select("doc_id", "id", "overlaps", intervals.agreed(found, "low", "high").alias("phase"))
 
 

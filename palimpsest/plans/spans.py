@@ -60,8 +60,8 @@ def parcels(spark, d):
 def parcels_on_the_way(spark, d):
     """For each time that a supplier's lines are on the way, all its lines that are on the way meanwhile: their number,
     quantity and last day."""
-    rows = stored(parcels(spark, d), "parcels")
-    return intervals.overlap_summary(rows.select("l_suppkey", "id", "start", "end").distinct(), rows, ["l_suppkey"], {"on_the_way": ("sum", "quantity"), "last_day": ("max", "end")})
+    rows = parcels(spark, d)
+    return intervals.overlap_summary(rows, rows, ["l_suppkey"], {"on_the_way": ("sum", "quantity"), "last_day": ("max", "end")})
 
 
 # ---- strings that texts contain -----------------------------------------------------------------------------

@@ -43,8 +43,8 @@ def by_name(facts: DataFrame, asked: DataFrame, n: int) -> DataFrame:
     return facts.join(asked, ["thread_id", "key"]).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n).select("thread_id", "key", "rank", "value", "valid_from")
 
 
-def two_lanes(stated: DataFrame) -> DataFrame:
-    """(thread_id, key, seq, value, authority) -> facts under the law of authority.
+def two_lanes(stated: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """(thread_id, key, seq, value, authority) -> facts under the law of authority, with the columns to carry along.
 
     A statement equal to the supported value changes nothing. One of the assistant that equals an open proposal
     changes nothing either. Else it becomes a fact (SUPPORTED if the user's, PROPOSED if not), closes open proposals,
@@ -66,7 +66,7 @@ def two_lanes(stated: DataFrame) -> DataFrame:
     closed = F.when(user, F.first(F.when(user, F.col("seq")), ignorenulls=True).over(behind)).otherwise(F.lead("seq").over(key))
     rows = made.withColumn("valid_to", closed)
     phase = F.when(F.col("valid_to").isNotNull(), "HISTORICAL").when(user, "SUPPORTED").otherwise("PROPOSED")
-    return rows.select("thread_id", "key", "value", "authority", phase.alias("phase"), F.col("seq").alias("valid_from"), "valid_to")
+    return rows.select("thread_id", "key", "value", "authority", phase.alias("phase"), F.col("seq").alias("valid_from"), "valid_to", *(carry or []))
 
 
 def frontier(facts: DataFrame, budget: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """Streams with state and merges: what comes late, twice, or after a restart."""
 
 import datetime
+import random
 
 import pyspark.sql.functions as F
 import pytest
@@ -138,3 +139,27 @@ def test_chain_goes_on_from_heads(spark):
     assert fine.count() == 7 and fine.where("wrong > 0 or broken > 0 or differs").count() == 0
     bad = whole.withColumn("record", F.when((F.col("seq") == 6) & (F.col("thread_id") == 1), "{}").otherwise(F.col("record")))
     assert [(r["thread_id"], r["from_seq"]) for r in archive.verify_from(bad, marks).where("wrong > 0").collect()] == [(1, 4)]
+
+
+def test_fact_table_is_the_law(spark, tmp_path):
+    """Batches of statements that are late and doubled, one batch that comes again: the facts of all that wasn't too late."""
+    rng = random.Random(8)
+    rows = [said(i, rng.choice("abcAB ") + rng.choice(["", " "]), rng.choice(["user", "assistant"]), rng.choice("kl"), thread=rng.randint(1, 3)) for i in range(1, 200)]
+    files = [[] for _ in range(5)]
+    for r in rows:
+        for _ in range(rng.choice([1, 1, 2])):
+            files[min(4, r[2] // 40 + rng.choice([0, 0, 1]))].append(r)
+    files[2] += [(1, None, 90, "x", "user", at(90)), (1, "k", 91, None, "user", at(91))]
+    table = commit.FactTable(spark, str(tmp_path / "t"), 80 * 60_000)
+    for n, f in enumerate(files):
+        rng.shuffle(f)
+        table.apply(spark.createDataFrame(f, STATED), n)
+        if n == 2:
+            table.apply(spark.createDataFrame(f, STATED), n)
+    waits = table.read().count()
+    table.apply(spark.createDataFrame([said(1, "too late"), END], STATED), 5)
+    want = facts.two_lanes(spark.createDataFrame([r[:5] for r in rows], "thread_id long, key string, seq long, value string, authority string"))
+    columns = ["thread_id", "key", "value", "authority", "phase", "valid_from", "valid_to"]
+    got = table.read().where("thread_id > 0")
+    assert sorted(map(tuple, got.select(columns).collect()), key=repr) == sorted(map(tuple, want.select(columns).collect()), key=repr)
+    assert 0 < waits < got.count()
